@@ -55,6 +55,22 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((prefix[ends] - prefix[starts]) * down[starts] + length * U64(0xD6E8FEB86659FD93))
 
 
+def short_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """span_hashes() of bytes for many short spans of a long array, block by block, so temporaries stay small."""
+    out = np.empty(len(starts), U64)
+    if not len(starts):
+        return out
+    order = np.argsort(starts)
+    ordered = starts[order]
+    cuts = np.searchsorted(ordered, np.arange(0, len(data) + block, block))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a < b:
+            own = order[a:b]
+            base, stop = int(starts[own[0]]), int(ends[own].max())
+            out[own] = span_hashes(BYTE_HASH[data[base:stop]], starts[own] - base, ends[own] - base)
+    return out
+
+
 BYTE_HASH = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 BYTE_HASH_LOWER = BYTE_HASH.copy()
 BYTE_HASH_LOWER[65:91] = BYTE_HASH[97:123]

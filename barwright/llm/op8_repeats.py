@@ -8,7 +8,7 @@ can match:
 
 1. Documents are packed into chunks of a few MB, written once in buckets by chunk, so that later joins leave them in place.
 2. Each 50-byte string has an anchor, its smallest k-gram hash; neighbours mostly share it, so a chunk has about one anchor for
-   twenty bytes. Chunks send 4 bytes an anchor, packed by anchor bucket, and learn which anchors other chunks have too.
+   sixteen bytes. Chunks send 4 bytes an anchor, packed by anchor bucket, and learn which anchors other chunks have too.
 3. Runs of strings with such anchors go, once a chunk for equal runs, with their bytes to the anchor's bucket. There the suffix
    order decides which strings start earlier elsewhere; a bit for each goes back. Anchors with very many runs are dealt by the
    whole string instead, so that no group grows with one frequent phrase.
@@ -38,12 +38,13 @@ from barwright.llm import kernels as K
 from barwright.llm.store import saved, shared_folder
 
 LENGTH = 50
-GRAM = 12
+GRAM = 20
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20  # text bytes for each anchor bucket
+BUCKET_BYTES = 4 << 20  # text bytes for each anchor bucket
 HOT = 100_000  # runs of one anchor beyond which its strings are dealt one by one
 NO_ID = np.iinfo(np.int64).max
 _MAX_RUN = LENGTH - GRAM + 1
+_PACK = pa.Codec("zstd", 1)
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,10 +174,7 @@ class Chunk:
         starts = np.concatenate([self.starts[few], K.ranges(self.starts[many], size)])
         sizes = np.concatenate([self.sizes[few], np.ones(int(size.sum()), np.int64)])
         docs = np.concatenate([docs[few], np.repeat(docs[many], size)])
-        up, down = K.powers(len(self.data) + 1)
-        hashes = np.zeros(0, np.uint64)
-        if len(starts):
-            hashes = K.span_hashes(K.BYTE_HASH[self.data], starts, starts + sizes + LENGTH - 1)
+        hashes = K.short_span_hashes(self.data, starts, starts + sizes + LENGTH - 1)
         anchor_bucket = self.bucket_of[self.anchor_of[few]] if len(self.anchor_of) else np.zeros(0, np.int64)
         buckets = np.concatenate([anchor_bucket, self.bucket(hashes[len(anchor_bucket) :])])
         order = np.lexsort((docs, hashes, buckets))
@@ -191,7 +189,7 @@ class Chunk:
         starts, sizes, docs = self.run_starts[self.heads], self.run_sizes[self.heads], self.run_docs[self.heads]
         for bucket, a, b in self.by_bucket(self.head_buckets):
             content = self.data[K.ranges(starts[a:b], sizes[a:b] + LENGTH - 1)]
-            yield bucket, self.number, docs[a:b].tobytes(), sizes[a:b].astype(np.uint8).tobytes(), content.tobytes()
+            yield bucket, self.number, docs[a:b].tobytes(), sizes[a:b].astype(np.uint8).tobytes(), _PACK.compress(content).to_pybytes()
 
     def removed(self, masks: list[dict] | None) -> np.ndarray:
         """For each byte of the chunk, whether it goes."""
@@ -225,8 +223,9 @@ def _anchor_states(frame: pd.DataFrame, hot: int = HOT) -> pd.DataFrame:
 def earlier_starts(content: np.ndarray, first: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each run, a bit for each of its strings: whether it also starts in a document with a smaller id.
 
-    content: the runs' bytes; first: where each begins. The strings are put in suffix order (by 50 bytes, as seven big-endian
-    words); a string's document is set against the smallest in its run of equal neighbours.
+    content: the runs' bytes; first: where each begins. The strings are put in suffix order by their first eight bytes, with a
+    hash for the rest, as strings that are equal need only stand together; equality is then decided on all 50 bytes. A
+    string's document is set against the smallest in its run of equal neighbours.
     """
     start = K.ranges(first, sizes)
     run = np.repeat(np.arange(len(sizes)), sizes)
@@ -234,29 +233,28 @@ def earlier_starts(content: np.ndarray, first: np.ndarray, sizes: np.ndarray, do
     word = np.zeros(len(content) + 1, np.uint64)
     for i in range(8):
         word[: len(content)] = (word[: len(content)] << np.uint64(8)) | padded[i : i + len(content)]
-    words = [word[start + at] for at in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
-    order = np.lexsort(words[::-1])
+    order = np.lexsort((K.short_span_hashes(content, start + 8, start + LENGTH), word[start]))
     same = np.ones(len(order) - 1, bool)
-    for w in words:
-        w = w[order]
+    for at in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        w = word[start[order] + at]
         same &= w[1:] == w[:-1]
     heads = np.flatnonzero(np.concatenate([[True], ~same]))
-    smallest = np.minimum.reduceat(docs[run[order]], heads)
-    smallest = np.repeat(smallest, np.diff(np.append(heads, len(order))))
-    hit = np.zeros(len(order), bool)
-    hit[order] = smallest < docs[run[order]]
-    bits = np.zeros(len(sizes), np.uint64)
-    np.bitwise_or.at(bits, run, hit.astype(np.uint64) << (start - first[run]).astype(np.uint64))
-    return bits
+    own = docs[run[order]]
+    smallest = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(order))))
+    hit = np.zeros(len(order), np.uint64)
+    hit[order] = smallest < own
+    return np.bitwise_or.reduceat(hit << (start - first[run]).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
 def _run_masks(frame: pd.DataFrame) -> pd.DataFrame:
     docs = np.concatenate([np.frombuffer(b, np.int64) for b in frame["docs"]])
     sizes = np.concatenate([np.frombuffer(b, np.uint8) for b in frame["sizes"]]).astype(np.int64)
-    content = np.frombuffer(b"".join(frame["content"]), np.uint8)
+    cuts = np.concatenate([[0], np.cumsum([len(b) for b in frame["sizes"]])])
+    bytes_of = np.add.reduceat(sizes + LENGTH - 1, cuts[:-1]).tolist()
+    content = np.concatenate([np.frombuffer(_PACK.decompress(b, n), np.uint8) for b, n in zip(frame["content"], bytes_of, strict=True)])
     first = np.concatenate([[0], np.cumsum(sizes + LENGTH - 1)[:-1]])
     # equal runs of several chunks are compared once, as those of the smallest document
-    hashes = K.span_hashes(K.BYTE_HASH[content], first, first + sizes + LENGTH - 1)
+    hashes = K.short_span_hashes(content, first, first + sizes + LENGTH - 1)
     order = np.lexsort((docs, hashes))
     new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
     head = order[new]
@@ -265,7 +263,6 @@ def _run_masks(frame: pd.DataFrame) -> pd.DataFrame:
     bits = earlier_starts(content, first[head], sizes[head], docs[head])[group]
     whole = (np.uint64(1) << sizes.astype(np.uint64)) - np.uint64(1)
     bits = np.where(docs > docs[head][group], whole, bits)
-    cuts = np.concatenate([[0], np.cumsum([len(b) for b in frame["sizes"]])])
     keep = [i for i in range(len(frame)) if bits[cuts[i] : cuts[i + 1]].any()]
     return pd.DataFrame({"chunk": frame["chunk"].to_numpy()[keep], "bucket": frame["bucket"].to_numpy()[keep], "bits": [bits[cuts[i] : cuts[i + 1]].tobytes() for i in keep]})
 
