@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 21  # texts are worked on in slices of about this many bytes, so temporaries stay bounded
@@ -97,7 +98,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
         ends = np.cumsum(lengths)
         at = 0
         while at < batch.num_rows:

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYT
 
     for batch in K.slices(batches, "text", min(1 << 20, chunk_bytes)):
         rows.append(batch)
-        size += int(pa.compute.sum(pa.compute.binary_length(batch.column(1))).as_py() or 0)
+        size += int(pc.sum(pc.binary_length(batch.column(1))).as_py() or 0)
         if size >= chunk_bytes:
             yield out()
             chunk, rows, size = chunk + 1, [], 0
