@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,14 @@ def reindex(values: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select(*KEYS).join(values, list(KEYS), "left")
 
 
+def align(frames: Sequence[DataFrame], complete: bool = False) -> DataFrame:
+    """Frames side by side on their keys, missing ones NULL; with `complete` only rows without a missing value."""
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.join(other, list(KEYS), "inner" if complete else "full")
+    return out.na.drop("any") if complete else out
+
+
 def trailing(bars: DataFrame, column: str, n: int, agg) -> DataFrame:
     """Any other trailing aggregate over n full rows, as a column named after it."""
     return bars.withColumn(f"{column}_{agg.__name__}_{n}", F.when(F.count(column).over(last_rows(n)) == n, agg(F.col(column)).over(last_rows(n))))

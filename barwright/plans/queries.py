@@ -92,6 +92,15 @@ register("reindex_left", f"WITH {S.dataset_steps(ALL)} SELECT b.series, b.date,
 )
 
 
+def _frames(s: SparkSession, d: str) -> list[DataFrame]:
+    table = X.add_target(X.add_features(B.daily_order_bars(s, d)))
+    return [table.select(*KEYS, c) for c in ("rsi", "ma_20", TARGET)]
+
+
+register("align_outer", f"WITH {S.DAILY}, {S.feature_steps()} SELECT series, date, {S.pick(['rsi', 'ma_20', TARGET])} FROM f")(lambda s, d: rounded(X.align(_frames(s, d)), None))
+register("align_complete", f"WITH {S.DAILY}, {S.feature_steps()} SELECT series, date, {S.pick(['rsi', 'ma_20', TARGET])} FROM f WHERE rsi IS NOT NULL AND ma_20 IS NOT NULL AND {TARGET} IS NOT NULL")(lambda s, d: rounded(X.align(_frames(s, d), complete=True), None))
+
+
 def _train(s: SparkSession, d: str) -> DataFrame:
     return clean(s, d).where("split = 'train'")
 

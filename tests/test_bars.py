@@ -118,7 +118,7 @@ def test_ingest_turns_nan_into_null(spark):
         normalise(got.limit(0), "date")
 
 
-@pytest.mark.parametrize("name", ["bars_daily", "feat_all", "target_next", "drift_ks", "confusion_metrics"])
+@pytest.mark.parametrize("name", ["bars_daily", "feat_all", "target_next", "drift_ks", "confusion_metrics", "align_outer", "align_complete"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "events"):
