@@ -11,7 +11,8 @@ query's k best of each block go on, and the final ranking drops all but k a quer
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id;
 vectors are compared with those of their own length; a repeated row counts once; a row is never its own candidate, and rows
-with the query's id are its own; an empty table gives an empty result; extra columns are ignored.
+with the query's id are its own; an empty table gives an empty result; extra columns are ignored. Scaled components must fit
+32 bits, beyond which scores would leave 64 bits: a larger one is an error, not a wrong score.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ SAMPLE = 2048  # vectors, at most, among which pivots are chosen
 BLOCK = 2048  # vectors in a block, about
 QUERY_BLOCK = 2048
 SCALE = 1024
+LARGEST = 2**31 - 1  # scaled components are kept in 32 bits
 
 
 def choose_pivots(vectors: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -106,8 +108,11 @@ def _scaled(scale: int):
                     continue
                 x = np.array([np.nan if c is None else c for c in v], float) if v.dtype == object else v.astype(float)
                 if np.isfinite(x).all():
+                    scaled = np.floor(scale * x)
+                    if np.abs(scaled).max() > LARGEST:
+                        raise OverflowError(f"vector {i}: a scaled component is over {LARGEST}")
                     ids.append(i)
-                    out.append(np.floor(scale * x).astype(np.int32).tobytes())
+                    out.append(scaled.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
 
     return run

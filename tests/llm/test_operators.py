@@ -45,6 +45,8 @@ def test_search_equals_brute_force(spark):
         mine = got[got.query_id == q].sort_values("rank")
         assert list(zip(-mine.score, mine.vec_id)) == want
     assert op1_pivots.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    with pytest.raises(Exception, match="scaled component"):
+        op1_pivots.top_k(spark.createDataFrame([(0, [1e7])], "vec_id long, embedding array<double>"))
 
 
 def brute_components(rows, k, percent):
