@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from barwright.llm import op1_pivots, op2_minmax, op3_html, op4_pii, op5_chat, op6_packing, op7_toxicity, op8_repeats, op9_quality, op10_pieces
+from barwright.llm.components import connected_components
 from barwright.llm.queries import BYTE_TOKENIZER, PIECE_MODEL, tokenizer_path
 
 WORDS = [a + b for a in "ka lo mi ne tu sa ri po".split() for b in "ber dan fol gim hes".split()]
@@ -49,6 +50,28 @@ def test_search_equals_brute_force(spark):
         op1_pivots.top_k(spark.createDataFrame([(0, [1e7])], "vec_id long, embedding array<double>"))
 
 
+@pytest.mark.parametrize("parts", [1, 12])
+def test_components_equal_brute_force(spark, parts):
+    rng = random.Random(5)
+    nodes = rng.sample(range(-500, 10**12), 400)
+    pairs = [(a, b) for a, b in zip(nodes[:120], nodes[1:121])]  # a chain in random order
+    pairs += [(nodes[150], n) for n in nodes[151:250]]  # a hub
+    pairs += [(rng.choice(nodes[260:]), rng.choice(nodes[260:])) for _ in range(90)] + pairs[:20]  # loops, repeats
+    parent = {n: n for p in pairs for n in p if p[0] != p[1]}
+
+    def top(n):
+        return n if parent[n] == n else top(parent[n])
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(parts)
+    assert {r["node"]: r["component"] for r in connected_components(edges).collect()} == {n: top(n) for n in parent}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
 def brute_components(rows, k, percent):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     sets = {}
