@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -75,10 +76,10 @@ def _leaves(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
         at[rows] = np.where(goes_left, tree["left"][node], tree["right"][node])
 
 
-def _table(model) -> list[dict[str, np.ndarray]]:
-    """Spark's trees as arrays: feature, threshold, left, right (-1 at leaves), value, cover."""
+def _table(model, n: int) -> list[dict[str, np.ndarray]]:
+    """Spark's first n trees as arrays: feature, threshold, left, right (-1 at leaves), value, cover."""
     out = []
-    for tree in model.trees:
+    for tree in model.trees[:n]:
         rows: list[list[float]] = []
 
         def walk(node, rows=rows) -> int:
@@ -97,34 +98,50 @@ def _table(model) -> list[dict[str, np.ndarray]]:
 
 
 def fit(table: DataFrame, columns: Sequence[str], parameters: dict, trees: int, patience: int = DEFAULT.patience, seed: int = DEFAULT.seed) -> Boosted:
-    """Fits on split = 'train' and keeps the prefix of trees that is best on split = 'val'."""
+    """Fits on split = 'train' and keeps the prefix of trees that is best on split = 'val'.
+
+    Spark can't go on from a fitted ensemble, and its tree m doesn't depend on how many follow: so the ensemble is grown
+    again at twice the size, up to `trees`, until patience has ended it.
+    """
     columns = list(columns)
     stats = table.where("split = 'train'").agg(F.avg(TARGET).alias("m"), F.stddev_pop(TARGET).alias("s")).first()
     center, spread = float(stats["m"]), float(stats["s"] or 1.0)
     ready = VectorAssembler(inputCols=columns, outputCol="features").transform(table).withColumn("label", (F.col(TARGET) - center) / spread)
-    train, val = ready.where("split = 'train'").select("features", "label"), ready.where("split = 'val'").select("features", "label")
+    train, val = ready.where("split = 'train'").select("features", "label").cache(), ready.where("split = 'val'").select("features", "label").cache()
     depth = min(int(parameters.get("max_depth", 6)), 12)
-    gbt = GBTRegressor(lossType="absolute", maxIter=trees, stepSize=float(parameters.get("learning_rate", 0.03)), maxDepth=depth, minInstancesPerNode=int(parameters.get("min_child_samples", 1)), featureSubsetStrategy=str(parameters.get("feature_fraction", 1.0)), subsamplingRate=float(parameters.get("bagging_fraction", 1.0)), seed=seed, maxBins=64)
-    model = gbt.fit(train)
-    curve = [float(v) for v in model.evaluateEachIteration(val, "absolute")]
+    gbt = GBTRegressor(lossType="absolute", stepSize=float(parameters.get("learning_rate", 0.03)), maxDepth=depth, minInstancesPerNode=int(parameters.get("min_child_samples", 1)), featureSubsetStrategy=str(parameters.get("feature_fraction", 1.0)), subsamplingRate=float(parameters.get("bagging_fraction", 1.0)), seed=seed, maxBins=64)
+    n = min(trees, 2 * patience)
+    while True:
+        model = gbt.copy({gbt.maxIter: n}).fit(train)
+        best, ended, error = best_prefix([float(v) for v in model.evaluateEachIteration(val, "absolute")], patience)
+        if ended or n >= trees:
+            break
+        n = min(trees, 2 * n)
+    train.unpersist()
+    val.unpersist()
+    return Boosted(columns, _table(model, best + 1), [float(w) for w in model.treeWeights][: best + 1], center, spread, dict(parameters), best + 1, error * spread)
+
+
+def best_prefix(curve: Sequence[float], patience: int) -> tuple[int, bool, float]:
+    """The best tree before `patience` trees bring nothing better, whether patience ended the search, and the tree's error."""
     best = 0
     for i, v in enumerate(curve):
         if v < curve[best]:
             best = i
         elif i - best >= patience:
-            break
-    return Boosted(columns, _table(model)[: best + 1], [float(w) for w in model.treeWeights][: best + 1], center, spread, dict(parameters), best + 1, curve[best] * spread)
+            return best, True, curve[best]
+    return best, False, curve[best]
 
 
 def random_search(table: DataFrame, columns: Sequence[str], draws: int, trees: int, s: Settings = DEFAULT) -> tuple[Boosted, list[tuple[int, float, int]]]:
-    """The draw with the smallest validation error (the first of equals) and (draw, error, best iteration) of all."""
-    best, trials = None, []
-    for i, parameters in enumerate(draw_parameters(draws, s)):
-        model = fit(table, columns, parameters, trees, s.patience, s.seed)
-        trials.append((i, model.val_mae, model.best_iteration))
-        if best is None or model.val_mae < best.val_mae:
-            best = model
-    return best, trials
+    """The draw with the smallest validation error (the first of equals) and (draw, error, best iteration) of all.
+
+    The draws are fitted side by side, as the jobs of one tree are too small to fill a cluster.
+    """
+    with ThreadPool(max(1, min(draws, table.sparkSession.sparkContext.defaultParallelism))) as pool:
+        models = pool.map(lambda parameters: fit(table, columns, parameters, trees, s.patience, s.seed), draw_parameters(draws, s), 1)
+    trials = [(i, model.val_mae, model.best_iteration) for i, model in enumerate(models)]
+    return min(models, key=lambda model: model.val_mae, default=None), trials
 
 
 def predict(table: DataFrame, model: Boosted) -> DataFrame:

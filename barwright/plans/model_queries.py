@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.config import KEYS, TARGET
+from barwright.config import DEFAULT, KEYS, TARGET
 from barwright.operators import boosting, evaluation
 from barwright.plans import pipeline
 from barwright.plans.queries import ALL, clean, register
 from barwright.sources.bars import daily_order_bars
 
-TREES, DRAWS = 10, 2  # bounds of the registered searches
-
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = clean(spark, sf_dir).cache()
@@ -21,17 +19,17 @@ def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("param_draws")
 def param_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boosting.as_rows(spark, boosting.draw_parameters(40))
+    return boosting.as_rows(spark, boosting.draw_parameters(DEFAULT.draws))
 
 
 @register("random_search_trials")
 def random_search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(boosting.random_search(_scaled(spark, sf_dir), ALL, DRAWS, TREES)[1], "draw long, val_mae double, best_iteration long")
+    return spark.createDataFrame(boosting.random_search(_scaled(spark, sf_dir), ALL, DEFAULT.draws, DEFAULT.trees)[1], "draw long, val_mae double, best_iteration long")
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boosting.Boosted]:
     table = _scaled(spark, sf_dir)
-    return table.where("split = 'test'"), boosting.fit(table, ALL, boosting.UNTUNED, TREES)
+    return table.where("split = 'test'"), boosting.fit(table, ALL, boosting.UNTUNED, DEFAULT.trees)
 
 
 @register("model_predictions")
@@ -51,4 +49,4 @@ def shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pipeline_report")
 def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.run(daily_order_bars(spark, sf_dir), trees=TREES, draws=DRAWS).metrics
+    return pipeline.run(daily_order_bars(spark, sf_dir)).metrics

@@ -29,11 +29,12 @@ class Report:
     importance: DataFrame
 
 
-def run(bars: DataFrame, trees: int = 20, draws: int = 2, tune: bool = True, select: bool = True, s: Settings = DEFAULT) -> Report:
-    """trees and draws bound the search; without `tune` the fixed parameters are used, without `select` all columns stay.
+def run(bars: DataFrame, trees: int | None = None, draws: int | None = None, tune: bool = True, select: bool = True, s: Settings = DEFAULT) -> Report:
+    """trees and draws of the search are those of the settings unless given; without `tune` the fixed parameters are used, without `select` all columns stay.
 
     The table is split before columns are chosen, so choice, scaling and drift look at training rows only as reference.
     """
+    trees, draws = s.trees if trees is None else trees, s.draws if draws is None else draws
     volume_ok = features.volume_usable(bars, s)
     columns = features.feature_names(volume_ok, s)
     table = evaluation.assign_split(features.dataset(bars, volume_ok, s), s).cache()

@@ -111,6 +111,34 @@ def test_attribution_adds_up(spark):
     assert len(both) and np.allclose(both.prediction, both.s)
 
 
+def test_registered_searches_are_whole(spark, monkeypatch):
+    asked = []
+
+    def fit(table, columns, parameters, trees, *_):
+        asked.append(trees)
+        return boosting.Boosted(list(columns), [], [], 0.0, 1.0, parameters, 1, 1.0)
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    for name, fits in (("random_search_trials", 40), ("model_predictions", 1), ("pipeline_report", 40)):
+        asked.clear()
+        registry.queries()[name](spark, SF)
+        assert asked == [2000] * fits, name
+
+
+def test_patience_ends_the_growth(spark):
+    assert boosting.best_prefix([3, 2, 2, 2, 1], 2) == (1, True, 2) and boosting.best_prefix([3, 2, 2, 2, 1], 3) == (4, False, 1)
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame(rng.normal(size=(150, 2)), columns=["a", "b"]).assign(series="A", date=pd.bdate_range("2020-01-01", periods=150).date)
+    data[TARGET] = 0.01 * data.a + 0.01 * data.b
+    table = evaluation.assign_split(spark.createDataFrame(data)).cache()
+    own = {"max_depth": 2, "learning_rate": 0.1, "bagging_fraction": 0.9}
+    whole, grown = boosting.fit(table, ["a", "b"], own, 12, 50), boosting.fit(table, ["a", "b"], own, 12, 2)
+    # more trees than the first growth of 4, and those of a single fit
+    n = grown.best_iteration
+    assert n > 4 and grown.weights == whole.weights[:n]
+    assert all(np.array_equal(x[k], y[k]) for x, y in zip(grown.trees, whole.trees) for k in x)
+
+
 def test_ingest_turns_nan_into_null(spark):
     got = normalise(spark.createDataFrame([("2020-01-01", float("nan"))], "Date string, Close double"), "Date")
     assert got.columns == ["series", "date", "close"] and got.first()["close"] is None
