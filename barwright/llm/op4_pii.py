@@ -4,8 +4,8 @@ Base spans come from patterns (email, ip, card, phone). The method then estimate
 protected entity: with document counts n_t (term), n_c (entity) and n_ct (both) over N documents, the term's pointwise
 mutual information log2(N n_ct / (n_c n_t)) is set against the entity's information log2(N / n_c). A term whose share
 reaches DISCLOSURE, in at least SUPPORT distinct texts with the entity, discloses it and is a span of kind `term` in
-every document with that entity. Counts are over distinct texts of the whole corpus, so copies of one text don't pose
-as evidence.
+every document with that entity. Near copies of a text count once as evidence: texts are folded by the similarity of the
+whole texts, so a fixed phrase in otherwise different texts (a signature) is evidence and one text with small changes isn't.
 
 Sizes: words are counted with map-side partial sums. A term can only disclose an entity if nearly all its documents hold
 some supported entity, which one count decides before any (term, entity) pair is made; that is a necessary condition, so
@@ -34,7 +34,9 @@ TERM = r"[\p{L}\p{N}]+"  # what counts as a term
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 DISCLOSURE = 0.95  # share of an entity's information that a term may reveal
-SUPPORT = 5  # distinct texts in which a term must stand with an entity
+SUPPORT = 5  # texts, near copies folded, in which a term must stand with an entity
+SHINGLE, BUCKETS, BAND = 3, 60, 3  # words a shingle, values of a text's sketch, values that are looked up together
+SIMILAR = 0.5  # texts fold when this share of their shingles agrees, as their sketches estimate it
 TERM_CHARS = 3  # shorter terms are never spans of their own
 
 
@@ -136,11 +138,35 @@ def _survey(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), *KINDS, F.when(some, F.col("entities")).alias("entities"), F.when(some, F.col("text")).alias("text"))
 
 
+def _folds(texts: DataFrame) -> DataFrame:
+    """(h1, fold) for texts (h1, words): near copies get the hash of one text of theirs, others their own.
+
+    The sketch of a text is the smallest shingle hash of each bucket. Texts that agree in a band are linked to the
+    smallest one with it if their sketches agree, and links are followed to their end: work is linear in the texts.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - SHINGLE + 1, F.lit(1)))
+    hashes = texts.select("h1", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, F.lit(SHINGLE))))).alias("x"))
+    bucket = lambda x: F.pmod(x, F.lit(BUCKETS))
+    lows = saved(hashes.groupBy("h1", bucket(F.col("x")).alias("bucket")).agg(F.min("x").alias("x")))
+    bands = lows.groupBy("h1", F.floor(F.col("bucket") / BAND).alias("band")).agg(F.xxhash64(F.sort_array(F.collect_list("x"))).alias("key"))
+    heads = bands.groupBy("band", "key").agg(F.min("h1").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    edges = bands.join(heads, ["band", "key"]).where("head < h1").select("h1", "head").distinct()
+    sketches = lows.groupBy("h1").agg(F.collect_list("x").alias("own"))
+    both = edges.join(sketches, "h1").join(sketches.select(F.col("h1").alias("head"), F.col("own").alias("its")), "head")
+    either = F.size(F.array_union(F.transform("own", bucket), F.transform("its", bucket)))
+    links = saved(both.where(F.size(F.array_intersect("own", "its")) >= SIMILAR * either).groupBy("h1").agg(F.min("head").alias("fold")))
+    while True:  # each round doubles the links that are followed
+        further = links.select(F.col("h1").alias("fold"), F.col("fold").alias("end"))
+        if links.join(further, "fold", "leftsemi").isEmpty():
+            break
+        links = saved(links.join(further, "fold", "left").select("h1", F.coalesce("end", "fold").alias("fold")))
+    return texts.select("h1").distinct().join(links, "h1", "left").select("h1", F.coalesce("fold", "h1").alias("fold"))
+
+
 def disclosing_terms(docs: DataFrame, survey: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, term) for the terms that disclose an entity of their text, and (entity, term, share) with the estimates.
 
-    Evidence must be diverse: at least `support` distinct contexts (neighbouring terms), and contexts for half of the
-    distinct texts, so near copies of one text, where every rare word stands with the entity, aren't evidence.
+    Evidence is at least `support` texts, near copies folded: in near copies every rare word stands with the entity.
     """
     holding = survey.where("entities IS NOT NULL").select("h1", "h2", F.explode("entities").alias("entity"))
     entities = saved(holding.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), F.countDistinct("h1", "h2").alias("texts")).where(F.col("texts") >= support))
@@ -149,10 +175,9 @@ def disclosing_terms(docs: DataFrame, survey: DataFrame, disclosure: float = DIS
     held = held.select("h1", "h2", "held", (F.col("pairs") / F.size("held")).cast("long").alias("copies"))
     texts = survey.where("text IS NOT NULL").groupBy("h1", "h2").agg(F.first("text").alias("text"))
     words = F.filter(F.split(F.lower(_blanked(F.col("text"))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    near = texts.join(held, ["h1", "h2"]).select("h1", "h2", "held", "copies", words.alias("words"))
-    context = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("context")))
-    near = near.select("h1", "h2", "held", "copies", F.explode(context).alias("w")).select("h1", "h2", "held", "copies", "w.term", "w.context").where(_is_term(F.col("term")))
-    near = saved(near.groupBy("h1", "h2", "term").agg(F.first("held").alias("held"), F.first("copies").alias("copies"), F.min("context").alias("context")))
+    near = saved(texts.join(held, ["h1", "h2"]).select("h1", "h2", "held", "copies", words.alias("words")))
+    own = F.explode(F.array_distinct(F.filter("words", _is_term))).alias("term")
+    near = saved(near.join(_folds(near), "h1").select("h1", "h2", "held", "copies", "fold", own))
     candidates = near.groupBy("term").agg(F.sum("copies").alias("n_any"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     terms = F.filter(F.array_distinct(F.split(F.lower(_blanked(text)), r"[^\p{L}\p{N}]+")), _is_term)
@@ -163,9 +188,9 @@ def disclosing_terms(docs: DataFrame, survey: DataFrame, disclosure: float = DIS
     known = everywhere.join(candidates, "term").join(F.broadcast(total.join(rarest)))
     bound = F.col("n_any") / F.col("n_t") >= F.pow(F.col("least") / F.col("n"), F.lit(1 - disclosure))
     known = saved(known.where(bound).select("term", "n_t", "n"))
-    pairs = near.join(known, "term").select("h1", "h2", "term", "n_t", "n", "copies", "context", F.explode("held").alias("entity"))
-    joint = pairs.groupBy("entity", "term", "n_t", "n").agg(F.sum("copies").alias("n_ct"), F.count(F.lit(1)).alias("texts"), F.countDistinct("context").alias("contexts"))
-    joint = joint.where((F.col("contexts") >= support) & (2 * F.col("contexts") >= F.col("texts"))).join(entities.select("entity", "n_c"), "entity")
+    pairs = near.join(known, "term").select("h1", "h2", "term", "n_t", "n", "copies", "fold", F.explode("held").alias("entity"))
+    joint = pairs.groupBy("entity", "term", "n_t", "n").agg(F.sum("copies").alias("n_ct"), F.countDistinct("fold").alias("texts"))
+    joint = joint.where(F.col("texts") >= support).join(entities.select("entity", "n_c"), "entity")
     pmi = F.log2(F.col("n").cast("double") * F.col("n_ct") / (F.col("n_c").cast("double") * F.col("n_t")))
     information = F.log2(F.col("n").cast("double") / F.col("n_c"))
     estimates = saved(joint.where(F.col("n") > F.col("n_c")).withColumn("share", pmi / information).where(F.col("share") >= disclosure).select("entity", "term", "share"))

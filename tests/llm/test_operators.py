@@ -157,6 +157,22 @@ def test_private_data(spark):
     assert clean[105] == "[EMAIL][EMAIL]"
 
 
+def test_fixed_phrases_disclose_and_near_copies_do_not(spark):
+    rng = random.Random(4)
+    said = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    rows = [(i, " ".join(said(40)) + " Regards John Smith, john@x.com") for i in range(40)]
+    base = [*said(30), "Quibbleton", *said(30), "ann@y.org", *said(30)]
+    for i in range(40, 80):
+        w = list(base)
+        w[rng.randrange(30)] = f"w{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(said(60))) for i in range(80, 200)]
+    clean = {r["doc_id"]: r["text"] for r in op4_pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(clean[i].endswith("[TERM] [TERM] [TERM], [EMAIL]") for i in range(40))
+    assert all("[EMAIL]" in clean[i] and "[TERM]" not in clean[i] for i in range(40, 80))
+    assert all(clean[i] == rows[i][1] for i in range(80, 200))
+
+
 def test_chats_come_back(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 1, "assistant", "a\\b<s>\\[/TURN]"), (1, 0, "us]er", None), (1, 2, "assistant", "]\n</s>\n<s>[INST:user]\n😀"), (1, 2, "assistant", ""), (2, None, None, "x"), (None, 0, "user", "y")]
