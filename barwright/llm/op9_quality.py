@@ -1,7 +1,8 @@
 """Quality rules with host-level verdicts.
 
-Each text gets rule figures (one vectorised pass, Arrow batches); rule failures are then summed by host, each host's
-rate is shrunk towards the corpus with a beta prior fitted to the hosts themselves, and the verdict is joined back.
+Each text gets rule figures (one vectorised pass, Arrow batches); the failures of each rule are then summed by host, each
+host's rates are shrunk towards the corpus with beta priors fitted to the hosts themselves, a host is judged against the
+other hosts, and the verdict is joined back.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count as
 often as they stand; on an empty table the result is empty; extra columns are ignored.
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import kernels as K
@@ -22,12 +23,23 @@ from barwright.llm.store import saved
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 WINDOW = 3
-HOST_LIMIT = 0.8  # a host is rejected when its shrunken failure rate is surely above this
-HOST_Z = 3.0  # standard deviations of the posterior that make it sure
+SYMBOL_PERCENT = 10  # symbols for a hundred words
+LINE_PERCENT = 30  # lines that repeat an earlier one
+HOST_LIMIT = 0.5  # a host is rejected only when a rule surely fails on more than this share of its rows
+HOST_Z = 3.0  # standard deviations that make it sure, of the posterior and of the other hosts' rates
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True  # fixed values: the characters counted as symbols
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_FIGURES = (*_NAMES, "n_lines")
+# host-level rules; the first two alone decide on a document of its own
+RULES = {
+    "base": "base_failed",
+    "words": f"n_words < {MIN_WORDS}",
+    "repeats": f"n_words > 0 AND 100 * n_repeat_words > {REPEAT_PERCENT} * n_words",
+    "symbols": f"100 * n_symbols > {SYMBOL_PERCENT} * n_words",
+    "lines": f"100 * n_dup_lines > {LINE_PERCENT} * n_lines",
+}
 
 
 def figures(column: pa.Array) -> dict[str, np.ndarray]:
@@ -36,7 +48,7 @@ def figures(column: pa.Array) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     zero = np.zeros(n, np.int64)
     if not len(data):
-        return {name: zero for name in _NAMES}
+        return {name: zero for name in _FIGURES}
     starts, ends, rows = K.words(data, offsets)
     symbols = K.BYTE_HASH[data]
     leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -52,6 +64,7 @@ def figures(column: pa.Array) -> dict[str, np.ndarray]:
     line_rows, lines = line_rows[has], K.span_hashes(symbols, line_starts[has], line_ends[has])
     order = np.lexsort((lines, line_rows))
     same = (line_rows[order][1:] == line_rows[order][:-1]) & (lines[order][1:] == lines[order][:-1])
+    out["n_lines"] = per_row(line_rows)
     out["n_dup_lines"] = per_row(line_rows[order][1:][same])
     # words in windows found twice or more
     hashes = K.span_hashes(symbols, starts, ends)
@@ -79,33 +92,47 @@ def figures(column: pa.Array) -> dict[str, np.ndarray]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.slices(batches):
         got = figures(batch.column(2))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[c], pa.int64()) for c in _NAMES)], ["doc_id", "host", *_NAMES])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[c], pa.int64()) for c in _FIGURES)], ["doc_id", "host", *_FIGURES])
 
 
 def rule_figures(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the figures of each whole text, with base_failed."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    out = out.mapInArrow(_measure, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _NAMES))
+    out = out.mapInArrow(_measure, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _FIGURES))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
 def host_verdicts(figs: DataFrame, limit: float = HOST_LIMIT, z: float = HOST_Z) -> DataFrame:
-    """One row a host: rows, failures, shrunken rate and verdict.
+    """One row a host: rows, shrunken rate of base failures and verdict.
 
-    The prior is Beta(a, b) by the method of moments over host rates (weighting hosts alike); with no spread between
-    hosts it falls back to Beta(1, 1). A host fails when its posterior mean less z posterior deviations is over `limit`.
+    Each rule's prior is Beta(a, b) by the method of moments over host rates (weighting hosts alike); with no spread
+    between hosts it falls back to a weight of two rows. A host fails when, for some rule, its posterior mean less z
+    posterior deviations is over `limit` and over what the other hosts make plausible: the mean of their rates plus z
+    deviations between them. A host that stands alone has no others to be judged against.
     """
-    by_host = figs.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("k"))
-    rate = F.col("k") / F.col("n")
-    prior = by_host.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1.0 / F.col("n")).alias("inv"))
-    own = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inv"), F.lit(0.0))
-    size = F.when((own > 1e-9) & (F.col("m") * (1 - F.col("m")) > own), F.col("m") * (1 - F.col("m")) / F.nullif(own, F.lit(0.0)) - 1).otherwise(F.lit(2.0))
-    mean = F.when((F.col("m") > 0) & (F.col("m") < 1), F.col("m")).otherwise(F.lit(0.5))
-    prior = prior.select((mean * size).alias("a"), ((1 - mean) * size).alias("b"))
-    a, b = F.col("k") + F.col("a"), F.col("n") - F.col("k") + F.col("b")
-    out = by_host.join(F.broadcast(prior))  # one row of two numbers
-    out = out.withColumn("host_rate", a / (a + b)).withColumn("spread", F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
-    return out.select("host", F.col("n").alias("host_rows"), "host_rate", (F.col("host_rate") - z * F.col("spread") > limit).alias("host_failed"))
+    failed = [F.sum(F.expr(rule).cast("long")).alias(f"k_{name}") for name, rule in RULES.items()]
+    by_host = figs.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *failed)
+    rate = lambda name: F.col(f"k_{name}") / F.col("n")
+    sums = [g for name in RULES for g in (F.sum(rate(name)).alias(f"s_{name}"), F.sum(rate(name) * rate(name)).alias(f"q_{name}"))]
+    corpus = by_host.agg(F.count(F.lit(1)).alias("hosts"), F.sum(1.0 / F.col("n")).alias("inv"), *sums).first()  # one row of numbers
+    hosts, inv = corpus["hosts"], corpus["inv"] or 0.0
+    out, verdict = by_host, F.lit(False)
+    for name in RULES:
+        total, squares = corpus[f"s_{name}"] or 0.0, corpus[f"q_{name}"] or 0.0
+        # mean and variance between hosts, sampling variance taken off
+        m = total / max(hosts, 1)
+        v = max(squares / max(hosts, 1) - m * m - m * (1 - m) * inv / max(hosts, 1), 0.0)
+        size = m * (1 - m) / v - 1 if v > 1e-9 and m * (1 - m) > v else 2.0
+        mean = m if 0 < m < 1 else 0.5
+        a, b = F.col(f"k_{name}") + mean * size, F.col("n") - F.col(f"k_{name}") + (1 - mean) * size
+        if name == "base":
+            out = out.withColumn("host_rate", a / (a + b))
+        if hosts > 1:
+            others = F.greatest((total - rate(name)) / (hosts - 1), F.lit(0.0))
+            between = (squares - rate(name) * rate(name)) / (hosts - 1) - others * others - others * (1 - others) * (inv - 1.0 / F.col("n")) / (hosts - 1)
+            sure = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+            verdict = verdict | ((sure > limit) & (sure > others + z * F.sqrt(F.greatest(between, F.lit(0.0)))))
+    return out.select("host", F.col("n").alias("host_rows"), "host_rate", verdict.alias("host_failed"))
 
 
 def quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT, z: float = HOST_Z) -> DataFrame:

@@ -298,6 +298,24 @@ def test_quality_figures(spark, data):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
 
 
+@pytest.mark.parametrize("fault", ["words", "symbols", "lines"])
+def test_a_bad_host_goes_whole(spark, fault):
+    rng = random.Random(7)
+    rows = []
+    for i in range(1200):
+        words = rng.choices([f"{a}{b}" for a in WORDS for b in WORDS], k=60)
+        text = " ".join(words)
+        if i % 6 == 5 and i % 24 != 23:  # three quarters of host 5
+            text = {"words": " ".join(words[:9]), "symbols": text.replace(" ", " # "), "lines": "\n".join([*words, *["same"] * 40])}[fault]
+        if i % 6 != 5 and rng.random() < 0.1:
+            text = "short"
+        rows.append((i, text, f"h{i % 6}"))
+    got = {r["doc_id"]: r for r in op9_quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i]["kept"] for i in range(1200) if i % 6 == 5)
+    assert all(got[i]["kept"] == (not got[i]["base_failed"]) for i in range(1200) if i % 6 != 5)
+    assert sum(not got[i]["base_failed"] for i in range(1200) if i % 6 == 5) >= 50
+
+
 def test_pieces_equal_the_library(spark, data):
     import sentencepiece
 
