@@ -75,23 +75,25 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return out.withColumn("turns", turns)
 
 
-def loss_text(turns: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t.getField("role") == TRAINED_ROLE), lambda t: t.getField("text")), "")
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, unescaped span by span."""
+    cut = lambda s: unescape(F.substring(formatted, s.getField("start").cast("int") + 1, (s.getField("end") - s.getField("start")).cast("int")))
+    return F.array_join(F.transform(mask, cut), "")
 
 
 def loss_mask(formatted: DataFrame) -> DataFrame:
     """conv_id, formatted and mask: array of (start, end) code points, end exclusive, one for each assistant text."""
     parsed = read_back(formatted)
     spans = F.flatten(F.transform("parsed", lambda b: F.transform(b.getField("raw"), lambda t, j: F.struct((b.getField("role") == TRAINED_ROLE).alias("on"), F.when(j == 0, b.getField("head")).otherwise(F.lit(len(BETWEEN))).alias("before"), F.length(t).alias("size"), F.when(j == F.size(b.getField("raw")) - 1, F.lit(len(CLOSE))).otherwise(F.lit(0)).alias("after")))))
-    rows = parsed.select("conv_id", "formatted", F.posexplode_outer(spans).alias("pos", "s"))
+    rows = parsed.select("conv_id", F.posexplode_outer(spans).alias("pos", "s"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("s.before") + F.col("s.size") + F.col("s.after")).over(w) - F.col("s.after")
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("s.size"))
     mask = F.sort_array(F.collect_list(F.when(F.col("s.on"), F.struct("start", "end"))))
-    return rows.groupBy("conv_id").agg(F.first("formatted").alias("formatted"), mask.alias("mask"))
+    masks = rows.groupBy("conv_id").agg(mask.alias("mask")).withColumnRenamed("conv_id", "k")  # a string isn't copied for each of its spans
+    return formatted.join(masks, F.col("conv_id").eqNullSafe(F.col("k"))).select("conv_id", "formatted", "mask")
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -101,10 +103,10 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from formatted strings, as digests."""
-    back = read_back(formatted)
+    """What can be read back from formatted strings, as digests; the loss columns from the spans of the mask."""
+    back = read_back(loss_mask(formatted))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.getField("role"), F.lit("\n"), t.getField("text"), F.lit("\n"))), "")
-    out = back.withColumn("loss", loss_text(F.col("turns")))
+    out = back.withColumn("loss", masked_text(F.col("formatted"), F.col("mask")))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -188,6 +188,14 @@ def test_chats_come_back(spark):
     assert [mask["formatted"][s["start"] : s["end"]] for s in mask["mask"]] == ["<\\/s>[\\INST] ok [\\/INST]"]
 
 
+def test_loss_digests_come_from_the_mask(spark, monkeypatch):
+    chats = op5_chat.format_chats(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "😀<s>b")], "conv_id long, turn long, role string, text string"))
+    whole, mask = op5_chat.digests(chats).first(), op5_chat.loss_mask
+    assert (whole["loss_chars"], whole["loss_sha256"]) == (5, hashlib.sha256("😀<s>b".encode()).hexdigest())
+    monkeypatch.setattr(op5_chat, "loss_mask", lambda f: mask(f).selectExpr("conv_id", "formatted", "transform(mask, s -> struct(s.start + 1 AS start, s.end AS end)) AS mask"))
+    assert op5_chat.digests(chats).first()["loss_sha256"] == hashlib.sha256(b"<s>b").hexdigest()
+
+
 def test_packing_covers_every_id_once(spark, data):
     from tokenizers import Tokenizer
 
