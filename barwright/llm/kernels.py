@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
+CACHE_BYTES = 24 << 20  # of spans known to a worker
 SLICE_BYTES = 1 << 21  # texts are worked on in slices of about this many bytes, so temporaries stay bounded
 
 
@@ -24,57 +29,95 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+LONG_SPAN = 512  # bytes beyond which a span is hashed or compared by itself, not with the others round by round
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _INV)):
-            out = np.empty(size, U64)
-            out[0] = 1
-            done = 1
-            while done < size:
-                step = U64(pow(base, done, 1 << 64))
-                out[done : 2 * done] = out[:done] * step
-                done *= 2
-            _POWERS[name] = out
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _words(symbols: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Eight bytes from each symbol on as one number (a view), symbols in a number, and masks for the first 0, 1, ... of them."""
+    size = symbols.itemsize
+    padded = np.zeros(len(symbols) + 8, symbols.dtype)
+    padded[: len(symbols)] = symbols
+    per = 8 // size
+    masks = np.array([(1 << (8 * size * k)) - 1 for k in range(per + 1)], U64)
+    return np.ndarray((len(symbols) + 1,), "<u8", padded, strides=(size,)), per, masks
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of symbols[start:end] for each span; symbols: uint64 values, already mixed."""
-    n = len(symbols)
-    up, down = powers(n + 1)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(symbols * up[:n], out=prefix[1:])
-    length = (ends - starts).astype(U64)
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + length * U64(0xD6E8FEB86659FD93))
-
-
-def short_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """span_hashes() of bytes for many short spans of a long array, block by block, so temporaries stay small."""
-    out = np.empty(len(starts), U64)
+    """64-bit hashes of symbols[start:end] for each span (symbols: uint8 or uint32). Words of eight bytes are mixed in one after
+    the other, so no family of texts collides by construction; very long spans go through xxh3."""
+    words, per, masks = _words(symbols)
+    length = ends - starts
+    acc = length.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D)
+    most = LONG_SPAN // symbols.itemsize
+    far = np.flatnonzero(length > most)
+    todo = np.flatnonzero((length > 0) & (length <= most))
+    at, left, own = starts[todo], length[todo], acc[todo]
+    while len(todo):
+        own ^= words[at] & masks[np.minimum(left, per)]
+        own *= U64(0x9FB21C651E98DF25)
+        own ^= own >> U64(29)
+        more = left > per
+        if more.all():
+            at, left = at + per, left - per
+            continue
+        acc[todo] = own
+        todo, at, left, own = todo[more], at[more] + per, left[more] - per, own[more]
+    for i in far.tolist():
+        acc[i] = xxhash.xxh3_64_intdigest(symbols[starts[i] : ends[i]].tobytes())
+    return mix(acc)
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the spans of `length` symbols of a and b are equal, symbol by symbol."""
+    out = np.ones(len(length), bool)
+    (x, per, masks), (y, _, _) = _words(a), _words(b)
+    most = LONG_SPAN // a.itemsize
+    todo = np.flatnonzero((length > 0) & (length <= most))
+    i, j, left = a_starts[todo], b_starts[todo], length[todo]
+    while len(todo):
+        equal = (x[i] ^ y[j]) & masks[np.minimum(left, per)] == 0
+        out[todo[~equal]] = False
+        more = equal & (left > per)
+        todo, i, j, left = todo[more], i[more] + per, j[more] + per, left[more] - per
+    for k in np.flatnonzero(length > most).tolist():
+        out[k] = np.array_equal(a[a_starts[k] : a_starts[k] + length[k]], b[b_starts[k] : b_starts[k] + length[k]])
+    return out
+
+
+def span_ids(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Numbers from 0 for spans: two spans have one number if, and only if, their symbols are equal."""
     if not len(starts):
+        return np.zeros(0, np.int64)
+    hashes = span_hashes(symbols, starts, ends) if hashes is None else hashes
+    _, first, out = np.unique(hashes, return_index=True, return_inverse=True)
+    length = ends - starts
+    head = first[out]
+    odd = np.flatnonzero((length != length[head]) | ~same_spans(symbols, starts, symbols, starts[head], np.minimum(length, length[head])))
+    known: dict[bytes, int] = {}  # spans whose hash another one has too
+    for i in odd.tolist():
+        out[i] = known.setdefault(symbols[starts[i] : ends[i]].tobytes(), len(first) + len(known))
+    return out
+
+
+def window_ids(ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers for the windows of k neighbours of an array of ids: equal if, and only if, the windows are."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    top = int(ids.max()) + 1
+    if top**k < 1 << 63:
+        out = np.zeros(n, np.int64)
+        for i in range(k):
+            out = out * top + ids[i : n + i]
         return out
-    order = np.argsort(starts)
-    ordered = starts[order]
-    cuts = np.searchsorted(ordered, np.arange(0, len(data) + block, block))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if a < b:
-            own = order[a:b]
-            base, stop = int(starts[own[0]]), int(ends[own].max())
-            out[own] = span_hashes(BYTE_HASH[data[base:stop]], starts[own] - base, ends[own] - base)
+    out = ids[:n]
+    for i in range(1, k):
+        out = np.unique(out * top + ids[i : n + i], return_inverse=True)[1]
     return out
 
 
-BYTE_HASH = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-BYTE_HASH_LOWER = BYTE_HASH.copy()
-BYTE_HASH_LOWER[65:91] = BYTE_HASH[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -157,7 +200,7 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     n_rows = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, U64), np.zeros(n_rows + 1, np.int64)
-    rows, hashes = shingles(span_hashes(BYTE_HASH_LOWER[data], starts, ends), rows, n_rows, k)
+    rows, hashes = shingles(span_hashes(LOWER[data], starts, ends), rows, n_rows, k)
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
     new = np.ones(len(rows), bool)
@@ -254,9 +297,6 @@ def letter_class(c: str) -> int:
 # The code points with Unicode's White_Space property.
 _WHITE = {chr(i) for i in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
 
-_SYMBOLS = mix(np.arange(1, 0x10001, dtype=U64) * U64(0xD1B54A32D192ED03))
-
-
 def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """The texts as one string, its code points, and where each text begins (with the end as the last entry)."""
     joined = "".join(texts)
@@ -266,34 +306,70 @@ def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return joined, points, offsets
 
 
-def symbol_hashes(points: np.ndarray) -> np.ndarray:
-    out = _SYMBOLS[np.minimum(points, 0xFFFF)]
-    far = np.flatnonzero(points > 0xFFFF)
-    if len(far):
-        out[far] = mix(points[far].astype(U64) * U64(0xD1B54A32D192ED03) + U64(1))
-    return out
-
-
 class SpanCache:
-    """From spans of text to small integers, by hash; `encode` says what new spans stand for. Bounded: it is emptied
-    when it holds more than `most` spans, which costs time, never results."""
-
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_500_000) -> None:
-        self.encode, self.most = encode, most
-        self.index, self.store = HashIndex(18), []
+    """From spans of code points to small integers; `encode` says what new spans stand for and how many bytes it keeps for
+    them. Found by hash, decided on the code points. Bounded: it is emptied beyond `most` bytes, which costs time, never results."""
+
+    def __init__(self, encode: Callable[[list[str]], int], forget: Callable[[], None], most: int = CACHE_BYTES) -> None:
+        self.encode, self.forget, self.most = encode, forget, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.forget()
+        self.index, self.points, self.at, self.used, self.n, self.kept = HashIndex(14), np.zeros(1 << 14, np.uint32), np.zeros(1 << 12, np.int64), 0, 0, 0
+
+    def _store(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[str]) -> np.ndarray:
+        """The numbers of new spans."""
+        length = ends - starts
+        self.points = grown(self.points, self.used + int(length.sum()))
+        self.at = grown(self.at, self.n + len(starts) + 1)
+        self.at[self.n + 1 : self.n + 1 + len(starts)] = self.used + np.cumsum(length)
+        self.points[self.used : self.used + int(length.sum())] = points[ranges(starts, length)]
+        out = np.arange(self.n, self.n + len(starts))
+        self.used, self.n = self.used + int(length.sum()), self.n + len(starts)
+        self.kept += self.encode(spans)
+        return out
 
-    def look_up(self, joined: str, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        if len(self.store) > self.most:
-            self.index, self.store = HashIndex(18), []
-        hashes = span_hashes(symbols, starts, ends)
+    def look_up(self, joined: str, starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> np.ndarray:
+        if self.kept + 4 * self.used + 24 * self.n > self.most:
+            self.clear()
+        cut = lambda at: [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        hashes = span_hashes(points, starts, ends)
         found = self.index.find(hashes)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             at = missing[first]
-            spans = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            base = len(self.store)
-            self.store.extend(self.encode(spans))
-            self.index.add(new, np.arange(base, base + len(new)))
-            found[missing] = base + back
+            own = self._store(points, starts[at], ends[at], cut(at))
+            self.index.add(new, own)
+            found[missing] = own[back]
+        length = ends - starts
+        same = self.at[found + 1] - self.at[found] == length
+        same[same] = same_spans(points, starts[same], self.points, self.at[found[same]], length[same])
+        odd = np.flatnonzero(~same)
+        if len(odd):  # one hash for two spans: the later one goes without it
+            found[odd] = self._store(points, starts[odd], ends[odd], cut(odd))
         return found
+
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a copy with room for n values and as many more."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)])
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, so idle Python workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() after its last batch."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied

@@ -68,13 +68,12 @@ class PieceModel:
             self.automaton.add_word(p, p)
             self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in good), None)
         self.automaton.make_automaton()
-        self._new()
+        self.cache = K.SpanCache(self._units, self._forget)
 
-    def _new(self) -> None:
-        self.cache = K.SpanCache(self._units)
+    def _forget(self) -> None:
         self.said: list[bytes] = []
         self.back: list[str] = []
-        self.sizes = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 12, np.int64)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored adjacent pair first, the leftmost of equals. For short texts."""
@@ -111,19 +110,19 @@ class PieceModel:
         for i, piece in enumerate(longest):
             if piece is None:
                 longest[i] = unit[i]
-        alive = (1 << (n + 1)) - 1  # bit i: no failure known for the rest from i
+        alive = bytearray(b"\xff") * (n // 8 + 1)  # bit i: no failure known for the rest from i
         out: list[str] = []
         at, piece = 0, longest[0]
         while piece is not None:
             end = at + len(piece)
-            if alive >> end & 1 and (not out or self.compatible(out[-1], piece)):
+            if alive[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
                 out.append(piece)
                 at = end
                 piece = longest[at] if at < n else None
                 continue
             piece = self.shorter.get(piece)
             if piece is None:
-                alive &= ~(1 << at)
+                alive[at >> 3] &= ~(1 << (at & 7)) & 255
                 if not out:
                     raise AssertionError(f"no valid split of {unit!r}")
                 piece = out.pop()
@@ -157,15 +156,15 @@ class PieceModel:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out)
 
-    def _units(self, units: list[str]) -> list:
+    def _units(self, units: list[str]) -> int:
         got = [self.unit_ids(u) for u in units]
         n = len(self.said)
-        self.said.extend(b" ".join(b"%d" % i for i in g) for g in got)
-        self.back.extend(map(self.decode, got))
-        while n + len(got) > len(self.sizes):
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        said, back = [b" ".join(b"%d" % i for i in g) for g in got], list(map(self.decode, got))
+        self.said += said
+        self.back += back
+        self.sizes = K.grown(self.sizes, n + len(got))
         self.sizes[n : n + len(got)] = [len(g) for g in got]
-        return [None] * len(got)
+        return sum(map(len, said)) + 4 * sum(map(len, back)) + 150 * len(got)
 
     def encode(self, text: str) -> list[int]:
         """All ids of one text, the end id last."""
@@ -174,8 +173,6 @@ class PieceModel:
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
         """For each text: its ids in decimal joined by a space, the decoded text, and the number of ids."""
-        if len(self.said) > self.cache.most:
-            self._new()
         joined, points, offsets = K.code_points([" " + t.replace(MARK, " ") if t else "" for t in texts])
         out = []
         if len(points):
@@ -184,7 +181,7 @@ class PieceModel:
             begin[1:-1] = ~self.joint[kind[:-1], kind[1:]]
             begin[offsets] = True
             starts = np.flatnonzero(begin)
-            found = self.cache.look_up(joined, starts[:-1], starts[1:], K.symbol_hashes(points))
+            found = self.cache.look_up(joined, starts[:-1], starts[1:], points)
             sums = np.concatenate([[0], np.cumsum(self.sizes[found])])
             cuts = np.searchsorted(starts, offsets)
             sizes = (sums[cuts[1:]] - sums[cuts[:-1]]).tolist()
@@ -202,6 +199,7 @@ class PieceModel:
 def _digests(path: str):
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -82,62 +82,67 @@ def _encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Ids of texts, by the tokenizers library for each new pre-token and from a bounded cache for known ones."""
+    """Ids of texts: new pre-tokens are merged once, known ones come from a bounded cache."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = self._fast()
-        self._new()
-
-    def _new(self) -> None:
-        self.cache = K.SpanCache(self._encode)
-        self.flat, self.at, self.n, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
-
-    def _fast(self):
+        self.path, self._library = path, None
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.special = [t["content"] for t in parts.get("added_tokens") or []]
+        self.fast = self._fast(parts["model"])
+        self.cache = K.SpanCache(self._encode, self._forget)
+
+    @property
+    def tokenizer(self):
+        """The tokenizers library's object; only texts with control strings need it."""
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
+    def _forget(self) -> None:
+        self.flat, self.at, self.n, self.used = np.zeros(1 << 14, np.uint32), np.zeros(1 << 12, np.int64), 0, 0
+
+    def _fast(self, model: dict):
         """tiktoken's merge loop over this file's vocabulary, several times faster on single pre-tokens; None unless the
         file's merges are in the order of the ids, which makes both libraries' merges the same."""
         import tiktoken
 
-        model = json.loads(self.tokenizer.to_str())["model"]
         chars = _byte_characters()
-        if model["type"] != "BPE" or model.get("unk_token") or model.get("dropout") or not all(set(t) <= chars.keys() for t in model["vocab"] if t not in self.special):
+        special = set(self.special)
+        if model["type"] != "BPE" or model.get("unk_token") or model.get("dropout") or not all(set(t) <= chars.keys() for t in model["vocab"] if t not in special):
             return None
-        vocab = {bytes(chars[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+        vocab = {bytes(chars[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         made = [vocab[bytes(chars[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
         if made != sorted(made) or len(vocab) != 256 + len(set(made)):
             return None
-        return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=vocab, special_tokens={})._encode_single_piece
+        coder = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=vocab, special_tokens={})
+        coder._mergeable_ranks = {}  # the merge loop has its own copy
+        return coder._encode_single_piece
 
-    def _encode(self, spans: list[str]) -> list:
+    def _encode(self, spans: list[str]) -> int:
         if self.fast:
             got = [self.fast(t) for t in spans]
         else:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(spans, add_special_tokens=False)]
         sizes = np.array([len(g) for g in got], np.int64)
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(got) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[self.used : self.used + len(flat)] = flat
+        total = int(sizes.sum())
+        self.flat, self.at = K.grown(self.flat, self.used + total), K.grown(self.at, self.n + len(got) + 1)
+        self.flat[self.used : self.used + total] = np.fromiter((i for g in got for i in g), np.uint32, total)
         self.at[self.n + 1 : self.n + 1 + len(got)] = self.used + np.cumsum(sizes)
-        self.used, self.n = self.used + len(flat), self.n + len(got)
-        return [None] * len(got)
+        self.used, self.n = self.used + total, self.n + len(got)
+        return 4 * total + 8 * len(got)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END_ID, and where each text's begin."""
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         plain = ["" if i in odd else t for i, t in enumerate(texts)] if odd else texts
-        if self.n > self.cache.most:
-            self._new()
         joined, points, offsets = K.code_points(plain)
         if len(points):
             starts = pre_tokens(points, offsets)
-            tokens = self.cache.look_up(joined, starts, np.append(starts[1:], len(points)), K.symbol_hashes(points))
+            tokens = self.cache.look_up(joined, starts, np.append(starts[1:], len(points)), points)
             sizes = self.at[tokens + 1] - self.at[tokens]
             flat = self.flat[K.ranges(self.at[tokens], sizes)]
             total = np.concatenate([[0], np.cumsum(sizes)])
@@ -269,7 +274,7 @@ def _pack(path: str, capacity: int):
         if packer.out:
             yield rows()
 
-    return run
+    return K.tidy(run)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -50,7 +50,6 @@ def figures(column: pa.Array) -> dict[str, np.ndarray]:
     if not len(data):
         return {name: zero for name in _FIGURES}
     starts, ends, rows = K.words(data, offsets)
-    symbols = K.BYTE_HASH[data]
     leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     per_row = lambda r, w=None: np.bincount(r, w, n).astype(np.int64) if len(r) else zero
     n_symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
@@ -61,26 +60,23 @@ def figures(column: pa.Array) -> dict[str, np.ndarray]:
     line_ends = np.sort(np.concatenate([offsets[1:], breaks]))
     line_rows = np.repeat(np.arange(n), 1 + np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=n)) if len(breaks) else np.arange(n)
     has = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
-    line_rows, lines = line_rows[has], K.span_hashes(symbols, line_starts[has], line_ends[has])
+    line_rows, lines = line_rows[has], K.span_ids(data, line_starts[has], line_ends[has])
     order = np.lexsort((lines, line_rows))
     same = (line_rows[order][1:] == line_rows[order][:-1]) & (lines[order][1:] == lines[order][:-1])
     out["n_lines"] = per_row(line_rows)
     out["n_dup_lines"] = per_row(line_rows[order][1:][same])
     # words in windows found twice or more
-    hashes = K.span_hashes(symbols, starts, ends)
-    m = len(hashes) - WINDOW + 1
-    if m > 0:
-        acc = np.zeros(m, np.uint64)
-        for i in range(WINDOW):
-            acc = acc * np.uint64(0x9FB21C651E98DF25) + hashes[i : m + i]
-        at = np.flatnonzero(rows[:m] == rows[WINDOW - 1 :])
-        acc, r = K.mix(acc[at]), rows[at]
+    ids = K.span_ids(data, starts, ends)
+    if len(ids) >= WINDOW:
+        windows = K.window_ids(ids, WINDOW)
+        at = np.flatnonzero(rows[: len(windows)] == rows[WINDOW - 1 :])
+        acc, r = windows[at], rows[at]
         order = np.lexsort((acc, r))
         same = (acc[order][1:] == acc[order][:-1]) & (r[order][1:] == r[order][:-1])
         twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        covered = np.zeros(len(hashes), bool)
+        covered = np.zeros(len(ids), bool)
         for i in range(WINDOW):
             covered[at[twice] + i] = True
         out["n_repeat_words"] = per_row(rows[covered])
@@ -89,6 +85,7 @@ def figures(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
+@K.tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.slices(batches):
         got = figures(batch.column(2))
