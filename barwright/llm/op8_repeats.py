@@ -1,31 +1,32 @@
-"""Removal of repeated passages by suffix order: every byte covered by a 50-byte string that also starts in a document
-with a smaller id goes; the first document keeps it.
+"""Removal of repeated passages by longest-previous-factor arrays: every byte covered by a 50-byte string that also starts in a
+document with a smaller id goes; the first document keeps it.
 
-For a fixed length the longest-previous-factor test needs, in suffix order, only the run of suffixes that share at least that
-many bytes: the smallest document in the run is what previous and next smaller positions lead to, and a suffix whose
-document is larger has an earlier match. Suffixes are sorted by their first 50 bytes, in groups that hold all suffixes that
-can match:
+A suffix goes when its longest previous factor, the longest match with a suffix of an earlier document, has 50 bytes or more.
+Suffix order puts its best matches next to it: they are at the previous and at the next smaller position (here: document), and
+the factor's length is the smallest common prefix on the way there. So suffixes are put in order of their first 50 bytes, in
+groups that hold all suffixes that can match:
 
 1. Documents are packed into chunks of a few MB, written once in buckets by chunk, so that later joins leave them in place.
 2. Each 50-byte string has an anchor, its smallest k-gram hash; neighbours mostly share it, so a chunk has about one anchor for
    sixteen bytes. Chunks send 4 bytes an anchor, packed by anchor bucket, and learn which anchors other chunks have too.
 3. Runs of strings with such anchors go, once a chunk for equal runs, with their bytes to the anchor's bucket. There the suffix
-   order decides which strings start earlier elsewhere; a bit for each goes back. Anchors with very many runs are dealt by the
-   whole string instead, so that no group grows with one frequent phrase.
+   array, the common prefixes of neighbours, and the previous and next smaller documents give the strings that start earlier
+   elsewhere; a bit for each goes back. Anchors with very many runs are dealt by the whole string instead, so that no group
+   grows with one frequent phrase.
 4. Chunks turn the bits into removed spans.
 
-Nothing is collected to the driver or broadcast. Hashes only choose what is compared (false alarms are harmless) and fold equal
-runs (64 bits); matches are decided on bytes.
+Nothing is collected to the driver or broadcast. Hashes choose what is compared (false alarms are harmless) and fold equal runs
+of up to 81 bytes (64 bits, then compared byte by byte); matches are decided on bytes. The bucketed table has at most BUCKETS
+buckets, so one that outgrows BUCKETS chunks has more chunks a bucket, which tasks read one after the other.
 
 Defined results: null or empty text has no bytes; rows with equal doc_id never remove from each other; a null doc_id comes
 after all others; texts under 50 bytes stay; an empty table gives an empty result; extra columns are ignored by digests() and
-kept by remove_repeats().
+kept by remove_repeats(), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import kernels as K
-from barwright.llm.store import saved, shared_folder
+from barwright.llm.store import saved, saved_in_buckets
 
 LENGTH = 50
 GRAM = 20
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20  # text bytes for each anchor bucket
+BUCKETS = 20_000  # of the table of chunks, at most
 HOT = 100_000  # runs of one anchor beyond which its strings are dealt one by one
 NO_ID = np.iinfo(np.int64).max
 _MAX_RUN = LENGTH - GRAM + 1
@@ -61,15 +63,27 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each byte on, mixed from three words of eight bytes that cover them."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data),), "<u8", padded, strides=(1,))
+    n = len(data) - GRAM + 1
+    out = words[:n] * np.uint64(0x9FB21C651E98DF25)
+    for at in (8, GRAM - 8):
+        out ^= out >> np.uint64(29)
+        out ^= words[at : at + n]
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def _slice_runs(data: np.ndarray, offsets: np.ndarray, base: int, first_row: int):
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if n <= 0:
         return none
-    up, down = K.powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(K.BYTE_HASH[data] * up[: len(data)], out=prefix[1:])
-    low = K.mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: len(data) - GRAM + 1])
+    low = _gram_hashes(data)
     width = 1
     while 2 * width <= _MAX_RUN:
         low = np.minimum(low[:-width], low[width:])
@@ -175,12 +189,12 @@ class Chunk:
         starts = np.concatenate([self.starts[few], K.ranges(self.starts[many], size)])
         sizes = np.concatenate([self.sizes[few], np.ones(int(size.sum()), np.int64)])
         docs = np.concatenate([docs[few], np.repeat(docs[many], size)])
-        hashes = K.short_span_hashes(self.data, starts, starts + sizes + LENGTH - 1)
+        hashes = K.span_hashes(self.data, starts, starts + sizes + LENGTH - 1)
         anchor_bucket = self.bucket_of[self.anchor_of[few]] if len(self.anchor_of) else np.zeros(0, np.int64)
         buckets = np.concatenate([anchor_bucket, self.bucket(hashes[len(anchor_bucket) :])])
         order = np.lexsort((docs, hashes, buckets))
         new = np.ones(len(order), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (buckets[order][1:] != buckets[order][:-1])
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (buckets[order][1:] != buckets[order][:-1]) | ~_equal_neighbours(self.data, starts[order], sizes[order])
         self.run_starts, self.run_sizes, self.run_docs = starts[order], sizes[order], docs[order]
         self.group = np.cumsum(new) - 1  # equal runs; the first has the smallest document
         self.heads = np.flatnonzero(new)
@@ -221,29 +235,57 @@ def _anchor_states(frame: pd.DataFrame, hot: int = HOT) -> pd.DataFrame:
     return pd.DataFrame({"chunk": frame["chunk"].to_numpy()[keep], "bucket": frame["bucket"].to_numpy()[keep], "state": [state[cuts[i] : cuts[i + 1]].tobytes() for i in keep]})
 
 
+def _equal_neighbours(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run but the first, whether it has the bytes of the one before."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    return (sizes[1:] == sizes[:-1]) & K.same_spans(data, starts[1:], data, starts[:-1], np.minimum(sizes[1:], sizes[:-1]) + LENGTH - 1)
+
+
+def suffix_array(content: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes by their first LENGTH bytes, and whether each shares them with the one before it.
+
+    Common prefixes are cut at LENGTH: all that is asked of them is whether they reach it."""
+    padded = np.zeros(len(content) + LENGTH, np.uint8)
+    padded[: len(content)] = content
+    heads = np.ndarray((len(content),), f"S{LENGTH}", padded, strides=(1,))[starts]
+    order = np.argsort(heads)
+    heads = heads[order]
+    common = np.zeros(len(order), bool)
+    common[1:] = heads[1:] == heads[:-1]
+    return order, common
+
+
+def _nearest_smaller(common: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each suffix, the nearest one before it, among those that share LENGTH bytes with it, of a smaller document; -1 if
+    none. Pointers that lead to a document that is no smaller take over where that one's pointer leads, all at once."""
+    at = np.where(common, np.arange(len(docs)) - 1, -1)
+    todo = np.flatnonzero(common)
+    while len(todo):
+        todo = todo[docs[at[todo]] >= docs[todo]]
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+    return at
+
+
+def has_previous_factor(common: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each suffix in suffix order, whether its longest previous factor reaches LENGTH: whether the previous or the next
+    smaller document in suffix order shares that many bytes."""
+    before = _nearest_smaller(common, docs) >= 0
+    turned = np.zeros(len(common), bool)
+    turned[1:] = common[1:][::-1]
+    return before | (_nearest_smaller(turned, docs[::-1]) >= 0)[::-1]
+
+
 def earlier_starts(content: np.ndarray, first: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each run, a bit for each of its strings: whether it also starts in a document with a smaller id.
 
-    content: the runs' bytes; first: where each begins. The strings are put in suffix order by their first eight bytes, with a
-    hash for the rest, as strings that are equal need only stand together; equality is then decided on all 50 bytes. A
-    string's document is set against the smallest in its run of equal neighbours.
-    """
+    content: the runs' bytes; first: where each begins."""
     start = K.ranges(first, sizes)
     run = np.repeat(np.arange(len(sizes)), sizes)
-    padded = np.concatenate([content, np.zeros(8, np.uint8)])
-    word = np.zeros(len(content) + 1, np.uint64)
-    for i in range(8):
-        word[: len(content)] = (word[: len(content)] << np.uint64(8)) | padded[i : i + len(content)]
-    order = np.lexsort((K.short_span_hashes(content, start + 8, start + LENGTH), word[start]))
-    same = np.ones(len(order) - 1, bool)
-    for at in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        w = word[start[order] + at]
-        same &= w[1:] == w[:-1]
-    heads = np.flatnonzero(np.concatenate([[True], ~same]))
-    own = docs[run[order]]
-    smallest = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(order))))
+    order, common = suffix_array(content, start)
     hit = np.zeros(len(order), np.uint64)
-    hit[order] = smallest < own
+    hit[order] = has_previous_factor(common, docs[run[order]])
     return np.bitwise_or.reduceat(hit << (start - first[run]).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
@@ -255,9 +297,9 @@ def _run_masks(frame: pd.DataFrame) -> pd.DataFrame:
     content = np.concatenate([np.frombuffer(_PACK.decompress(b, n), np.uint8) for b, n in zip(frame["content"], bytes_of, strict=True)])
     first = np.concatenate([[0], np.cumsum(sizes + LENGTH - 1)[:-1]])
     # equal runs of several chunks are compared once, as those of the smallest document
-    hashes = K.short_span_hashes(content, first, first + sizes + LENGTH - 1)
+    hashes = K.span_hashes(content, first, first + sizes + LENGTH - 1)
     order = np.lexsort((docs, hashes))
-    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | ~_equal_neighbours(content, first[order], sizes[order])])
     head = order[new]
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
@@ -334,32 +376,25 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
 
 
-def _in_buckets(chunks: DataFrame, n: int) -> DataFrame:
-    """The chunks as a table in n buckets in the shared folder; joins by chunk then don't move them."""
-    spark = chunks.sparkSession
-    name = f"barwright_chunks_{uuid.uuid4().hex}"
-    chunks.write.format("parquet").option("path", f"{shared_folder(spark)}/barwright/{name}").option("compression", "zstd").bucketBy(n, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name)
-
-
-def _found(docs: DataFrame, with_text: bool, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+def _found(docs: DataFrame, with_text: bool, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, most: int = BUCKETS) -> DataFrame:
     others = [c for c in docs.columns if c != "text"] if with_text else []
-    base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"), *others)
+    own = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)]  # no name of theirs can clash
+    base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"), *own)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // bucket_bytes))
-    chunks = base.mapInArrow(lambda batches: _pack_chunks(batches, chunk_bytes), "chunk long, ids binary, known binary, offsets binary, data binary, rest binary")
-    chunks = _in_buckets(chunks, max(12, -(-total // (3 * chunk_bytes))))
+    chunks = base.mapInArrow(K.tidy(lambda batches: _pack_chunks(batches, chunk_bytes)), "chunk long, ids binary, known binary, offsets binary, data binary, rest binary")
+    chunks = saved_in_buckets(chunks, "chunk", min(most, max(12, -(-total // (3 * chunk_bytes)))))
     bare = chunks.drop("rest")
-    anchors = bare.mapInArrow(_send_anchors(buckets), "bucket long, chunk long, keys binary, counts binary")
+    anchors = bare.mapInArrow(K.tidy(_send_anchors(buckets)), "bucket long, chunk long, keys binary, counts binary")
     states = anchors.groupBy("bucket").applyInPandas(lambda frame: _anchor_states(frame, hot), "chunk long, bucket long, state binary")
     marks = saved(states.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "state")).alias("marks")))
     marked = bare.join(marks, "chunk", "left")
-    runs = marked.mapInArrow(_send_runs(buckets), "bucket long, chunk long, docs binary, sizes binary, content binary")
+    runs = marked.mapInArrow(K.tidy(_send_runs(buckets)), "bucket long, chunk long, docs binary, sizes binary, content binary")
     bits = runs.groupBy("bucket").applyInPandas(_run_masks, "chunk long, bucket long, bits binary")
     masks = saved(bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("masks")))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields)
-    result = f"{kept}, n_removed long, kept_text string" if with_text else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return (chunks if with_text else bare).join(marks, "chunk", "left").join(masks, "chunk", "left").mapInArrow(_finish(buckets, with_text), result)
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.select(*(f"__c{i}" for i in range(len(others)))).schema.fields)
+    result = f"{kept}n_removed long, kept_text string" if with_text else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return (chunks if with_text else bare).join(marks, "chunk", "left").join(masks, "chunk", "left").mapInArrow(K.tidy(_finish(buckets, with_text)), result)
 
 
 def digests(docs: DataFrame, **sizes: int) -> DataFrame:
@@ -369,8 +404,6 @@ def digests(docs: DataFrame, **sizes: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
     """docs with the text that stays; a character whose bytes would go in part stays whole. Other columns stay as they are."""
-    taken = {"n_removed", "kept_text"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns with names of this operator's own: {sorted(taken)}")
     out = _found(docs, True, **sizes)
-    return out.select(*(F.col("kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    names = iter(range(len(docs.columns)))
+    return out.select(*(F.col("kept_text" if c == "text" else f"__c{next(names)}").alias(c) for c in docs.columns))

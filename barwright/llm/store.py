@@ -1,55 +1,90 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share.
+
+All of an application's tables lie in one folder, which the JVM deletes when it ends, even if the session was stopped before.
+Operators delete earlier what no later step reads: see Tables.
+"""
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_MADE: dict[str, SparkSession] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; else, as in tests on one machine, a new temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder of this application under spark.checkpoint.dir. Where that is unset, as in tests on one machine, under a new
+    temporary folder; on a cluster, where executors could not see that one, it is an error."""
+    context = spark.sparkContext
+    known = _FOLDERS.get(context.applicationId)
+    if known:
+        return known
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barwright-"))
-            known = spark.sparkContext.getCheckpointDir()
-        base = known
-    return base.rstrip("/")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="barwright-"))
+        base = context.getCheckpointDir()
+    path = f"{base.rstrip('/')}/barwright/{context.applicationId}"
+    target, system = _place(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    _FOLDERS[context.applicationId] = path
+    return path
+
+
+def _place(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/barwright/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table that saved() wrote and that no later result reads."""
-    for name in df.inputFiles()[:1]:
-        for path in [p for p in _MADE if p.rpartition("/")[2] in name]:
-            _delete(path)
+def saved_in_buckets(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df in n buckets by key, a file each, in the shared folder; joins by key then don't move its rows.
+
+    The catalog only lends its name to the reader: the entry goes at once, the files with the folder."""
+    spark, name = df.sparkSession, f"barwright_{uuid.uuid4().hex}"
+    df.repartition(n, F.col(key)).write.format("parquet").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved before the entry goes
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return out
+
 
+class Tables:
+    """The tables that one call writes. On leaving the block, those that it was not told to keep are deleted."""
 
-def _delete(path: str) -> None:
-    spark = _MADE.pop(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
 
+    def __enter__(self) -> Tables:
+        return self
 
-@atexit.register
-def _clean() -> None:
-    for path in list(_MADE):
-        try:
-            _delete(path)
-        except Exception:  # the session has ended: the folder's owner cleans it
-            _MADE.pop(path, None)
+    def __exit__(self, *_) -> None:
+        for df in self.made:
+            drop(df)
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        out = saved(df)
+        self.made.append(out)
+        return out
+
+    def keep(self, *dfs: DataFrame) -> None:
+        self.made = [x for x in self.made if not any(x is df for df in dfs)]
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that saved() wrote and that no later result reads."""
+    target, system = _place(df.sparkSession, df._saved_at)
+    system.delete(target, True)
