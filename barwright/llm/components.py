@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.store import drop, saved
+from barwright.llm.store import Tables, drop, saved
 
 SLAB = 1 << 19  # edges that a task contracts at a time, about
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -48,12 +48,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield star(held)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, component): component is the smallest node reachable. edges: (a, b) longs, any order, repeats allowed.
 
     Each round contracts the edges inside its tasks to stars, hooks every node to its smallest neighbour (map-side minima,
     so a hub costs one row a task) and contracts the edges to the hooks; only edges between different hooks go on, so the
-    table shrinks geometrically in practice, and a table that fits one slab ends in one round.
+    table shrinks geometrically in practice, and a table that fits one slab ends in one round. The result is one of `tables`;
+    those of the rounds are deleted as they go.
     """
 
     def contracted(found: DataFrame) -> DataFrame:
@@ -61,10 +62,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     def hooked(found: DataFrame) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
-        return saved(contracted(found).select(ends.alias("e")).select("e.*").groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+        return contracted(found).select(ends.alias("e")).select("e.*").groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
 
     edges = saved(contracted(edges))
-    hooks = labels = hooked(edges)
+    hooks = labels = tables.saved(hooked(edges))
     while True:
         left = hooks.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         right = hooks.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -76,6 +77,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if edges.isEmpty():
             drop(edges)
             return labels
-        hooks = hooked(edges)
+        hooks = tables.saved(hooked(edges))
         step = hooks.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = saved(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+        labels = tables.saved(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")))

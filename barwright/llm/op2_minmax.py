@@ -1,16 +1,21 @@
 """Near-duplicate detection with min-max hashing.
 
 Every permutation of a shingle set gives two signature values, its minimum and its maximum, so a signature of v values
-costs v / 2 hash passes. Bands of four values make candidate buckets; the number of bands follows from the similarity
+costs v / 2 hash passes. Bands of six values make candidate buckets; the number of bands follows from the similarity
 so that a pair at the threshold is missed with probability below MISS. Sets are compared exactly afterwards.
 
 Scale: identical sets fold into one class before banding; buckets yield one edge a member (to their smallest), never
-pairs; the candidate groups these edges form are compared in blocks of BLOCK members inside tasks, with hubs shared by
-all blocks of a group and a second pass for what the hubs did not reach. No link between different sets is skipped: the
-second pass compares every member outside its group's main component with every block.
+pairs; the candidate groups these edges form are compared in blocks, bounded in members and in bytes, inside tasks, with hubs
+shared by all blocks of a group and a second pass for what the hubs did not reach. No link between different sets is skipped:
+the second pass compares every member outside its group's main component with every block. Six values a band keep such groups
+small: a pair that shares a third of its shingles meets in one of 30 bands with a probability of 4 %.
+
+Shingles are 64-bit hashes of words that are hashed in steps of eight bytes with xorshift between them (xxh3 for very long
+ones), so no family of texts collides by construction; by chance two of n different shingles do with a probability of n^2 / 2^65.
 
 Defined results: null or empty text has an empty set and is linked with nothing; rows without a doc_id are returned
-unlinked; repeated rows are copies; an empty table gives an empty result; extra columns are ignored.
+unlinked; repeated rows are copies; rows of one doc_id with different texts are compared each, as documents that share an id;
+an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +31,12 @@ from pyspark.sql import functions as F
 
 from barwright.llm import kernels as K
 from barwright.llm.components import connected_components
-from barwright.llm.store import saved
+from barwright.llm.store import Tables
 
-ROWS = 4  # signature values in a band: two permutations, each with minimum and maximum
+ROWS = 6  # signature values in a band: three permutations, each with minimum and maximum
 MISS = 1e-6
 BLOCK = 1024  # members of a candidate group compared in one task
+BLOCK_SHINGLES = 4 << 20  # and their shingles, about
 HUBS = 32  # members of a split group that all its blocks see, about
 
 
@@ -47,11 +53,12 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: int) -> np.ndarra
     """Band keys (rows x bands, int64) of the sets that aren't empty, by min-max hashing."""
     starts = offsets[:-1][np.diff(offsets) > 0]
     low = (values ^ (values >> np.uint64(32))).astype(np.uint32)
-    mul, add = _multipliers(2 * bands)
+    passes = ROWS // 2
+    mul, add = _multipliers(passes * bands)
     keys = np.zeros((len(starts), bands), np.uint64)
     for j in range(bands):
         acc = np.full(len(starts), j + 1, np.uint64)
-        for p in (2 * j, 2 * j + 1):
+        for p in range(passes * j, passes * j + passes):
             mixed = low * mul[p] + add[p]
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x2C1B3C6D)
@@ -99,7 +106,7 @@ def _links(percent: int):
     """Links inside one block: rows with `left` are compared with all rows; every pair of two components is compared."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("rep").reset_index(drop=True)
+        frame = frame.drop_duplicates(["rep", "shingles"]).reset_index(drop=True)
         sets = [np.frombuffer(b, np.uint64) for b in frame.shingles]
         size = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -130,19 +137,26 @@ def _links(percent: int):
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row: links at 100 * |A & B| >= percent * |A | B|."""
-    bands = bands_for(percent)
+    with Tables() as tables:
+        return _classified(docs, words, percent, block, tables)
+
+
+def _classified(docs: DataFrame, words: int, percent: int, block: int, tables: Tables) -> DataFrame:
+    bands, saved = bands_for(percent), tables.saved
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = saved(base.mapInArrow(_sketch(words, bands), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
+    sketch = saved(base.mapInArrow(K.tidy(_sketch(words, bands)), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
     usable = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = saved(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     firsts = saved(rows.groupBy("bucket").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "first"))
     edges = rows.join(firsts, "bucket").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    sizes = saved(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).select("grp", F.ceil(F.col("members") / block).alias("blocks"), "members"))
+    groups = connected_components(edges, tables).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    sized = groups.join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n")), "rep")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES))
+    sizes = saved(sized.groupBy("grp").agg(parts.alias("blocks"), F.count(F.lit(1)).alias("members")))
     members = groups.join(sizes, "grp").select("rep", "grp", "blocks", "members")
     texts = base.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
-    sets = members.join(texts, "rep").mapInArrow(_as_sets(words), "rep long, grp long, blocks long, members long, shingles binary")
+    sets = members.join(texts, "rep").mapInArrow(K.tidy(_as_sets(words)), "rep long, grp long, blocks long, members long, shingles binary")
     sets = saved(sets)
     own_block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("members") / HUBS))) == 0)
@@ -151,22 +165,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     links = saved(spread.groupBy("grp", "block").applyInPandas(_links(percent), "a long, b long"))
     split = sizes.where("blocks > 1")
     if not split.isEmpty():
-        found = connected_components(links).select(F.col("node").alias("rep"), "component")
+        found = connected_components(links, tables).select(F.col("node").alias("rep"), "component")
         known = saved(sets.join(split.select("grp"), "grp", "left_semi").select("rep", "grp", "blocks").join(found, "rep", "left").select("rep", "grp", "blocks", F.coalesce("component", "rep").alias("known")))
         main = known.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("known", F.struct("n", F.col("known"))).alias("main"))
         known = saved(known.join(main, "grp"))
         rest = saved(known.where("known <> main").groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("lots")))
-        whole = sets.select("rep", "shingles").join(known, "rep").join(rest, "grp")
+        whole = sets.select("rep", "shingles").join(known.dropDuplicates(["rep"]), "rep").join(rest, "grp")
         lot = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("lots"))
         to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
         right = whole.select("grp", "rep", "known", "shingles", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.explode(to("lots")).alias("lot"), F.lit(False).alias("left"))
         left = whole.where("known <> main").select("grp", "rep", "known", "shingles", F.explode(to("blocks")).alias("block"), lot.alias("lot"), F.lit(True).alias("left"))
         again = left.unionByName(right).groupBy("grp", "block", "lot").applyInPandas(_second(percent), "a long, b long")
         links = links.unionByName(saved(again))
-    components = connected_components(links).select(F.col("node").alias("rep"), "component")
+    components = connected_components(links, tables).select(F.col("node").alias("rep"), "component")
     labelled = classes.select("f1", "f2", "n_shingles", "rep").join(components, "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    full = usable.select("doc_id", "n_shingles", "f1", "f2").join(saved(labelled), ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = sketch.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    labelled, marks = saved(labelled), saved(sketch.drop("bands"))
+    tables.keep(labelled, marks)  # the result reads these two
+    full = marks.where("doc_id IS NOT NULL AND n_shingles > 0").join(labelled, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = marks.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

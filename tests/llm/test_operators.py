@@ -9,6 +9,7 @@ import pytest
 
 from barwright.llm import op1_pivots, op2_minmax, op3_html, op4_pii, op5_chat, op6_packing, op7_toxicity, op8_repeats, op9_quality, op10_pieces
 from barwright.llm.components import connected_components
+from barwright.llm.store import Tables, shared_folder
 from barwright.llm.queries import BYTE_TOKENIZER, PIECE_MODEL, tokenizer_path
 
 WORDS = [a + b for a in "ka lo mi ne tu sa ri po".split() for b in "ber dan fol gim hes".split()]
@@ -68,8 +69,9 @@ def test_components_equal_brute_force(spark, parts):
             parent[y] = x
     rng.shuffle(pairs)
     edges = spark.createDataFrame(pairs, "a long, b long").repartition(parts)
-    assert {r["node"]: r["component"] for r in connected_components(edges).collect()} == {n: top(n) for n in parent}
-    assert connected_components(edges.limit(0)).count() == 0
+    with Tables() as tables:
+        assert {r["node"]: r["component"] for r in connected_components(edges, tables).collect()} == {n: top(n) for n in parent}
+        assert connected_components(edges.limit(0), tables).count() == 0
 
 
 def brute_components(rows, k, percent):
