@@ -1,26 +1,31 @@
 """Information-theoretic sanitisation, with DataFrame functions only.
 
-Base spans come from patterns (email, ip, card, phone). The method then estimates how strongly other terms reveal a
-protected entity: with document counts n_t (term), n_c (entity) and n_ct (both) over N documents, the term's pointwise
-mutual information log2(N n_ct / (n_c n_t)) is set against the entity's information log2(N / n_c). A term whose share
-reaches DISCLOSURE, in at least SUPPORT distinct texts with the entity, discloses it and is a span of kind `term` in
-every document with that entity. Near copies of a text count once as evidence: texts are folded by the similarity of the
-whole texts, so a fixed phrase in otherwise different texts (a signature) is evidence and one text with small changes isn't.
+Protected entities are what the base patterns find (email, ip, card, phone), and secrets: strings of letters and digits whose
+own information, length times the bits of their alphabet, reaches SECRET_BITS. The method then estimates from the corpus how
+strongly other terms reveal an entity, each value by itself and each kind as a whole: with n_t, n_c and n_ct the documents that
+hold the term, the entity and both, of N, the term's pointwise mutual information log2(N n_ct / (n_c n_t)) is set against
+the entity's information log2(N / n_c). A term whose share reaches DISCLOSURE, in at least SUPPORT distinct texts with the
+entity, discloses it and is a span of kind `term` in every document with that entity. Near copies of a text count once
+as support: texts are folded by the similarity of the whole texts, so a fixed phrase in otherwise different texts (a signature,
+a key's name) is evidence and one text with small changes isn't.
 
 Sizes: words are counted with map-side partial sums. A term can only disclose an entity if nearly all its documents hold
 some supported entity, which one count decides before any (term, entity) pair is made; that is a necessary condition, so
 no term is lost. Spans come from match lengths (code points, end exclusive).
 
 Defined results: null text is empty and has no spans; rows with one text get the same spans; null doc_id stays; an empty
-table gives an empty result; extra columns are ignored. Patterns have possessive groups, so very long runs don't recurse.
+table gives an empty result; extra columns are ignored by find_spans() and kept by sanitise(), whatever their names. Patterns
+have possessive groups, so very long runs don't recurse.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.store import saved
+from barwright.llm.store import Tables
 
 # The patterns of the base kinds, in the order in which spans are listed.
 PATTERNS = {
@@ -30,6 +35,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+"
+SECRET_BITS = 96  # information that makes a string of letters and digits a secret
+SECRET_TURNS = 3  # times that a digit is followed by a letter in it, which words with a number rarely have
+FOUND = (*KINDS, "secret")
 TERM = r"[\p{L}\p{N}]+"  # what counts as a term
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
@@ -57,6 +66,10 @@ def _valid(kind: str, match: Column) -> Column:
         return F.lit(True)
     if kind == "ip":
         return match.rlike(_IP_PARTS)
+    if kind == "secret":
+        hexadecimal, one_case = match.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), match.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$")
+        bits = F.length(match) * F.when(hexadecimal, 4.0).when(one_case, 5.17).otherwise(5.95)  # log2 of 16, 36 and 62
+        return (bits >= SECRET_BITS) & (F.regexp_count(match, F.lit("[0-9][A-Za-z]")) >= SECRET_TURNS)
     digits = _digits(match)
     if kind == "card":
         return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(F.lit(False))
@@ -73,6 +86,8 @@ def _might(kind: str, text: Column) -> Column:
         return F.contains(text, F.lit("@"))
     if kind == "phone":
         return F.contains(text, F.lit("+"))
+    if kind == "secret":
+        return text.rlike(SECRET)
     return text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9](?:[\x20-]?[0-9]){15}")
 
 
@@ -95,32 +110,35 @@ def _placed(text: Column, pattern: str, matches: Column) -> Column:
     return F.zip_with(starts, matches, lambda s, m: F.struct(s.cast("long").alias("start"), (s + F.length(m)).cast("long").alias("end"), m.alias("value")))
 
 
+Save = Callable[[DataFrame], DataFrame]
+_ALL = PATTERNS | {"secret": SECRET}
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Adds text (null: empty) and one array of (start, end, value) for each base kind."""
+    """Adds text (null: empty) and one array of (start, end, value) for each base kind and for secrets."""
     out = docs
-    for kind, pattern in PATTERNS.items():
+    for kind, pattern in _ALL.items():
         text = F.col("text")
         out = out.withColumn(f"m_{kind}", F.when(_might(kind, text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    for kind, pattern in PATTERNS.items():
+    for kind, pattern in _ALL.items():
         found = F.when(F.size(f"m_{kind}") > 0, F.filter(_placed(F.col("text"), pattern, F.col(f"m_{kind}")), _checked(kind)))
         out = out.withColumn(kind, F.coalesce(found, F.array().cast(_SPANS))).drop(f"m_{kind}")
     return out
 
 
 def _entities() -> Column:
-    """Distinct protected values of a document: digits of numbers, lower-cased addresses."""
-    norm = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits}
+    """Distinct protected values of a document (digits of numbers, lower-cased addresses), and the kinds that it holds."""
+    norm = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits, "secret": lambda v: v}
     each = lambda k: F.transform(k, lambda s: F.concat(F.lit(k + ":"), norm[k](s.getField("value"))))
-    return F.array_distinct(F.concat(*map(each, KINDS)))
+    kind = lambda k: F.when(F.size(k) > 0, F.array(F.lit(k))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(each, FOUND), *map(kind, FOUND)))
 
 
 def _blanked(text: Column) -> Column:
     """The text without base matches."""
     rest = text
-    for kind, pattern in PATTERNS.items():
+    for kind, pattern in _ALL.items():
         rest = F.when(_might(kind, text), F.regexp_replace(rest, pattern, " ")).otherwise(rest)
     return rest
 
@@ -135,10 +153,10 @@ def _survey(docs: DataFrame) -> DataFrame:
     out = base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
     out = out.withColumn("entities", _entities())
     some = F.size("entities") > 0
-    return out.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), *KINDS, F.when(some, F.col("entities")).alias("entities"), F.when(some, F.col("text")).alias("text"))
+    return out.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), *FOUND, F.when(some, F.col("entities")).alias("entities"), F.when(some, F.col("text")).alias("text"))
 
 
-def _folds(texts: DataFrame) -> DataFrame:
+def _folds(texts: DataFrame, saved: Save) -> DataFrame:
     """(h1, fold) for texts (h1, words): near copies get the hash of one text of theirs, others their own.
 
     The sketch of a text is the smallest shingle hash of each bucket. Texts that agree in a band are linked to the
@@ -163,7 +181,7 @@ def _folds(texts: DataFrame) -> DataFrame:
     return texts.select("h1").distinct().join(links, "h1", "left").select("h1", F.coalesce("fold", "h1").alias("fold"))
 
 
-def disclosing_terms(docs: DataFrame, survey: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(docs: DataFrame, survey: DataFrame, saved: Save, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, term) for the terms that disclose an entity of their text, and (entity, term, share) with the estimates.
 
     Evidence is at least `support` texts, near copies folded: in near copies every rare word stands with the entity.
@@ -177,7 +195,7 @@ def disclosing_terms(docs: DataFrame, survey: DataFrame, disclosure: float = DIS
     words = F.filter(F.split(F.lower(_blanked(F.col("text"))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     near = saved(texts.join(held, ["h1", "h2"]).select("h1", "h2", "held", "copies", words.alias("words")))
     own = F.explode(F.array_distinct(F.filter("words", _is_term))).alias("term")
-    near = saved(near.join(_folds(near), "h1").select("h1", "h2", "held", "copies", "fold", own))
+    near = saved(near.join(_folds(near, saved), "h1").select("h1", "h2", "held", "copies", "fold", own))
     candidates = near.groupBy("term").agg(F.sum("copies").alias("n_any"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     terms = F.filter(F.array_distinct(F.split(F.lower(_blanked(text)), r"[^\p{L}\p{N}]+")), _is_term)
@@ -200,7 +218,7 @@ def disclosing_terms(docs: DataFrame, survey: DataFrame, disclosure: float = DIS
 
 def term_spans(survey: DataFrame, found: DataFrame) -> DataFrame:
     """(h1, h2, term): where the disclosing terms of a text stand, base spans left out."""
-    texts = survey.where("text IS NOT NULL").groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first(F.concat(*KINDS)).alias("base"))
+    texts = survey.where("text IS NOT NULL").groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first(F.concat(*FOUND)).alias("base"))
     texts = texts.join(found.groupBy("h1", "h2").agg(F.collect_set("term").alias("terms")), ["h1", "h2"])
     spans = _placed(F.col("text"), TERM, F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
     ours = F.filter(spans, lambda s: F.array_contains("terms", F.lower(s.getField("value"))) & ~F.exists("base", lambda b: (b.getField("start") < s.getField("end")) & (s.getField("start") < b.getField("end"))))
@@ -208,12 +226,15 @@ def term_spans(survey: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), and an array of (start, end, value) for each base kind and for `term`."""
-    survey = saved(_survey(docs))
-    found, _ = disclosing_terms(docs, survey, disclosure, support)
-    added = saved(term_spans(survey, found)).withColumnRenamed("h1", "k1").withColumnRenamed("h2", "k2")
+    """doc_id, h1, h2 (hashes of the text), and an array of (start, end, value) for each base kind, for `secret` and for `term`."""
+    with Tables() as tables:
+        survey = tables.saved(_survey(docs))
+        found, _ = disclosing_terms(docs, survey, tables.saved, disclosure, support)
+        added = tables.saved(term_spans(survey, found))
+        tables.keep(survey, added)
+    added = added.withColumnRenamed("h1", "k1").withColumnRenamed("h2", "k2")
     out = survey.join(added, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    return out.select("doc_id", "h1", "h2", *KINDS, F.coalesce("term", F.array().cast(_SPANS)).alias("term"))
+    return out.select("doc_id", "h1", "h2", *FOUND, F.coalesce("term", F.array().cast(_SPANS)).alias("term"))
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -223,7 +244,19 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 def digests(spans: DataFrame) -> DataFrame:
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return spans.select("doc_id", *counts, F.sha2(_listed(KINDS), 256).alias("base_sha256"), _listed((*KINDS, "term")).alias("spans"), F.size("term").cast("long").alias("n_term"))
+    more = [F.size(k).cast("long").alias(f"n_{k}") for k in ("secret", "term")]
+    return spans.select("doc_id", *counts, F.sha2(_listed(KINDS), 256).alias("base_sha256"), _listed((*FOUND, "term")).alias("spans"), *more)
+
+
+def _furthest_before(spans: Column, lot: int = 100) -> Column:
+    """For each span of a sorted array, the furthest end of those before it (0 for the first). By lots, as a running maximum
+    over a whole array would be quadratic in its length."""
+    lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / lot).cast("int")), lambda i: F.slice(spans, i * lot + 1, F.lit(lot)))
+    end = lambda a: F.array_max(F.transform(a, lambda s: s.getField("end")))
+    tops = F.transform(lots, end)
+    before = lambda a, i: F.when(i > 0, F.slice(a, F.lit(1), i)).otherwise(F.slice(a, F.lit(1), F.lit(0)))
+    zero = F.lit(0).cast("long")
+    return F.flatten(F.transform(lots, lambda own, k: F.transform(own, lambda s, i: F.greatest(F.coalesce(F.array_max(before(tops, k)), zero), F.coalesce(end(before(own, i)), zero)))))
 
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -231,24 +264,24 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
 
     Only documents with an entity can change, so only they are joined with the spans found for their texts.
     """
-    survey = saved(_survey(docs))
-    found, _ = disclosing_terms(docs, survey, disclosure, support)
-    added = term_spans(survey, found)
-    name = lambda k: F.transform(k, lambda s: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end"), F.lit(k.upper()).alias("kind")))
-    named = [name(k) for k in (*KINDS, "term")]
-    per_text = survey.where("text IS NOT NULL").groupBy("h1", "h2").agg(*(F.first(k).alias(k) for k in (*KINDS, "text"))).join(added, ["h1", "h2"], "left")
-    per_text = per_text.withColumn("term", F.coalesce("term", F.array().cast(_SPANS))).withColumn("all", F.array_sort(F.concat(*named)))
-    # a span is kept when it starts at or after the furthest end before it
-    ends = F.transform("all", lambda s, i: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end"), s.getField("kind").alias("kind"), F.coalesce(F.array_max(F.transform(F.slice("all", F.lit(1), i), lambda p: p.getField("end"))), F.lit(0).cast("long")).alias("before")))
-    per_text = per_text.withColumn("all", ends)
-    heads = F.filter("all", lambda s: s.getField("start") >= s.getField("before"))
-    per_text = per_text.withColumn("heads", heads)
-    # the text between one run of spans and the next
-    until = lambda i: F.coalesce(F.get("heads", i).getField("start"), F.length("text").cast("long"))
-    since = lambda i: F.when(i < F.size("heads"), F.get("heads", i).getField("before")).otherwise(F.array_max(F.transform("all", lambda s: s.getField("end"))))
-    piece = lambda h, i: F.concat(F.substring(F.col("text"), since(i).cast("int") + 1, (until(i) - since(i)).cast("int")), F.concat(F.lit("["), h.getField("kind"), F.lit("]")))
-    body = F.concat(F.array_join(F.transform("heads", piece), ""), F.substring(F.col("text"), since(F.size("heads")).cast("int") + 1, F.length("text")))
-    fixed = saved(per_text.where(F.size("all") > 0).select("h1", "h2", body.alias("sanitised")))
-    hashed = docs.withColumns({"__h1": F.xxhash64(F.coalesce("text", F.lit(""))), "__h2": F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))})
-    out = hashed.join(fixed, (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2")), "left")
-    return out.withColumn("text", F.coalesce("sanitised", "text")).select(*docs.columns)
+    with Tables() as tables:
+        survey = tables.saved(_survey(docs))
+        found, _ = disclosing_terms(docs, survey, tables.saved, disclosure, support)
+        added = term_spans(survey, found)
+        name = lambda k: F.transform(k, lambda s: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end"), F.lit(k.upper()).alias("kind")))
+        named = [name(k) for k in (*FOUND, "term")]
+        per_text = survey.where("text IS NOT NULL").groupBy("h1", "h2").agg(*(F.first(k).alias(k) for k in (*FOUND, "text"))).join(added, ["h1", "h2"], "left")
+        per_text = per_text.withColumn("term", F.coalesce("term", F.array().cast(_SPANS))).withColumn("all", F.array_sort(F.concat(*named))).where(F.size("all") > 0)
+        # a span is kept when it starts at or after the furthest end before it
+        both = F.zip_with("all", _furthest_before(F.col("all")), lambda s, b: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end"), s.getField("kind").alias("kind"), b.alias("before")))
+        per_text = per_text.withColumn("all", both).withColumn("heads", F.filter("all", lambda s: s.getField("start") >= s.getField("before")))
+        # the text between one run of spans and the next
+        last = F.array_max(F.transform("all", lambda s: s.getField("end")))
+        piece = lambda h: F.concat(F.substring(F.col("text"), h.getField("before").cast("int") + 1, (h.getField("start") - h.getField("before")).cast("int")), F.lit("["), h.getField("kind"), F.lit("]"))
+        body = F.concat(F.array_join(F.transform("heads", piece), ""), F.substring(F.col("text"), F.col("last").cast("int") + 1, F.length("text")))
+        fixed = tables.saved(per_text.withColumn("last", last).select(F.col("h1").alias("__k1"), F.col("h2").alias("__k2"), body.alias("__sanitised")))
+        tables.keep(fixed)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(1))})
+    out = hashed.join(fixed, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
+    return out.withColumn("text", F.coalesce("__sanitised", "text")).select(*(F.col(f"`{c}`") for c in docs.columns))
