@@ -22,12 +22,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op7_toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op7_toxicity.score(docs, model).where(F.col("score") < op7_toxicity.THRESHOLD).select(*docs.columns)
+    return op7_toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose document isn't its group's first go; of rows that are equal in id and text one stays."""
     found = saved(op2_minmax.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id"))
-    once = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    once = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
