@@ -39,7 +39,6 @@ SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+"
 SECRET_BITS = 96  # information that makes a string of letters and digits a secret
 SECRET_TURNS = 3  # times that a digit is followed by a letter in it, which words with a number rarely have
 FOUND = (*KINDS, "secret")
-TERM = r"[\p{L}\p{N}]+"  # what counts as a term
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 DISCLOSURE = 0.95  # share of an entity's information that a term may reveal
@@ -91,7 +90,7 @@ def _might(kind: str, text: Column) -> Column:
     return text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9](?:[\x20-]?[0-9]){15}")
 
 
-def _placed(text: Column, pattern: str, matches: Column) -> Column:
+def _placed(text: Column, pattern: str | Column, matches: Column) -> Column:
     """(start, end, value) of matches, from the lengths of what stands between them."""
     between = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(matches, F.length)
@@ -220,7 +219,10 @@ def term_spans(survey: DataFrame, found: DataFrame) -> DataFrame:
     """(h1, h2, term): where the disclosing terms of a text stand, base spans left out."""
     texts = survey.where("text IS NOT NULL").groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first(F.concat(*FOUND)).alias("base"))
     texts = texts.join(found.groupBy("h1", "h2").agg(F.collect_set("term").alias("terms")), ["h1", "h2"])
-    spans = _placed(F.col("text"), TERM, F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
+    # terms hold letters and numbers only, so they need no quoting
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    texts = texts.withColumn("pattern", pattern)
+    spans = _placed(F.col("text"), F.col("pattern"), F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
     ours = F.filter(spans, lambda s: F.array_contains("terms", F.lower(s.getField("value"))) & ~F.exists("base", lambda b: (b.getField("start") < s.getField("end")) & (s.getField("start") < b.getField("end"))))
     return texts.select("h1", "h2", ours.alias("term"))
 
