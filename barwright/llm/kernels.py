@@ -360,6 +360,10 @@ def grown(x: np.ndarray, n: int) -> np.ndarray:
 def release() -> None:
     """Gives memory that a task has freed back to the system, so idle Python workers stay small."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)

@@ -41,7 +41,7 @@ from barwright.llm.store import saved, saved_in_buckets
 
 LENGTH = 50
 GRAM = 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20  # text bytes for each anchor bucket
 BUCKETS = 20_000  # of the table of chunks, at most
 HOT = 100_000  # runs of one anchor beyond which its strings are dealt one by one
@@ -306,6 +306,7 @@ def _run_masks(frame: pd.DataFrame) -> pd.DataFrame:
     bits = earlier_starts(content, first[head], sizes[head], docs[head])[group]
     whole = (np.uint64(1) << sizes.astype(np.uint64)) - np.uint64(1)
     bits = np.where(docs > docs[head][group], whole, bits)
+    K.trim()
     keep = [i for i in range(len(frame)) if bits[cuts[i] : cuts[i + 1]].any()]
     return pd.DataFrame({"chunk": frame["chunk"].to_numpy()[keep], "bucket": frame["bucket"].to_numpy()[keep], "bits": [bits[cuts[i] : cuts[i + 1]].tobytes() for i in keep]})
 
@@ -383,7 +384,7 @@ def _found(docs: DataFrame, with_text: bool, chunk_bytes: int = CHUNK_BYTES, buc
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // bucket_bytes))
     chunks = base.mapInArrow(K.tidy(lambda batches: _pack_chunks(batches, chunk_bytes)), "chunk long, ids binary, known binary, offsets binary, data binary, rest binary")
-    chunks = saved_in_buckets(chunks, "chunk", min(most, max(12, -(-total // (3 * chunk_bytes)))))
+    chunks = saved_in_buckets(chunks, "chunk", min(most, max(12, -(-total // (6 * chunk_bytes)))))
     bare = chunks.drop("rest")
     anchors = bare.mapInArrow(K.tidy(_send_anchors(buckets)), "bucket long, chunk long, keys binary, counts binary")
     states = anchors.groupBy("bucket").applyInPandas(lambda frame: _anchor_states(frame, hot), "chunk long, bucket long, state binary")
