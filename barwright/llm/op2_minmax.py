@@ -69,11 +69,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: int) -> np.ndarra
 
 
 def _sketch(k: int, bands: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
-            values, offsets = K.shingle_sets(batch.column(1), k)
+            values, offsets = K.shingle_sets(batch.column(2), k)
             size = np.diff(offsets)
             full = np.flatnonzero(size)
             f = np.zeros((2, len(size)), np.uint64)
@@ -85,7 +85,7 @@ def _sketch(k: int, bands: int):
                 keys = signatures(values, offsets, bands)
             at[1:] = np.cumsum((size > 0) * bands)
             f = f.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(f[0]), pa.array(f[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(f[0]), pa.array(f[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1)))], schema=schema)
 
     return run
 
@@ -136,7 +136,8 @@ def _links(percent: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row: links at 100 * |A & B| >= percent * |A | B|."""
+    """doc_id, n_shingles, component_id, kept and text_hash (Spark's xxhash64 of the text) for each row: links at
+    100 * |A & B| >= percent * |A | B|."""
     with Tables() as tables:
         return _classified(docs, words, percent, block, tables)
 
@@ -144,7 +145,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
 def _classified(docs: DataFrame, words: int, percent: int, block: int, tables: Tables) -> DataFrame:
     bands, saved = bands_for(percent), tables.saved
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = saved(base.mapInArrow(K.tidy(_sketch(words, bands)), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
+    sketch = saved(base.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(K.tidy(_sketch(words, bands)), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, bands array<long>"))
     usable = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = saved(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -181,9 +182,9 @@ def _classified(docs: DataFrame, words: int, percent: int, block: int, tables: T
     labelled = classes.select("f1", "f2", "n_shingles", "rep").join(components, "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     labelled, marks = saved(labelled), saved(sketch.drop("bands"))
     tables.keep(labelled, marks)  # the result reads these two
-    full = marks.where("doc_id IS NOT NULL AND n_shingles > 0").join(labelled, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = marks.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    full = marks.where("doc_id IS NOT NULL AND n_shingles > 0").join(labelled, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "text_hash")
+    alone = marks.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    return full.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
 
 
 def _second(percent: int):

@@ -216,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         summed = lambda count: labelled.mapInArrow(K.tidy(count), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         best = summed(_count_terms).where(F.col("bad") >= SUPPORT).select("term", "bad", "good", (odds - Z * error).alias("weight")).where(F.col("weight") >= LEAST)
         terms = longest(best.orderBy(F.desc("weight"), "term").collect())  # bounded by the sample
-        harmless = summed(_count_phrases(frozenset(t for t, _ in terms))).where(F.col("good") >= SUPPORT).where(odds + 2 * Z * error < 0)
+        harmless = summed(_count_phrases(frozenset(t for t, _ in terms))).where(F.col("good") >= SUPPORT).where(odds + Z * error < 0)
         phrases = tuple(sorted({*EXCEPTIONS, *(r["term"] for r in harmless.select("term").collect())}))
         model = Model(terms, None, phrases)
         got = labelled.mapInArrow(K.tidy(_weights(model)), "weight double, words long, toxic long").toPandas()  # `sample` rows at most
