@@ -27,8 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose document isn't its group's first go; of rows that are equal in id and text one stays."""
-    found = saved(op2_minmax.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id"))
-    once = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    found = op2_minmax.near_duplicates(docs, words=5, percent=80).where(~F.col("kept"))
+    found = saved(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    gone = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    once = docs.where("doc_id IS NOT NULL").join(found, gone, "left_anti").dropDuplicates(["doc_id", "text"])
     return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
