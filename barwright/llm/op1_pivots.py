@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm import kernels
+from barwright.llm.sampling import smallest
 from barwright.llm.store import Tables
 
 K = 10
@@ -261,7 +262,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE,
     with Tables() as tables:
         spark = vectors.sparkSession
         rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        sample = rows.where("vec_id IS NOT NULL AND size(embedding) > 0").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE)  # what comes to the driver is bounded by SAMPLE
+        sample = smallest(rows.where("vec_id IS NOT NULL AND size(embedding) > 0"), F.xxhash64("vec_id", F.lit(3)), SAMPLE)  # what comes to the driver is bounded by SAMPLE
         by_length: dict[int, list] = {}
         for batch in sample.toArrow().to_batches():
             for _, _, x in _components(batch):

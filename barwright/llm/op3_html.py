@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import kernels as K
+from barwright.llm.sampling import smallest
 
 # Element names by their role in HTML.
 RAW = {"script", "style", "noscript", "title", "textarea", "iframe", "xmp"}
@@ -389,8 +390,10 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> tuple[float, ...]:
     """Weights of the text model from at most `sample` pages, the smallest by hash. Values are rounded to a tenth and counted, so
     what comes to the driver is bounded by the sample."""
     rows = pages.select(F.col("html").cast("string").alias("html"))
-    rows = rows.select("html", F.xxhash64("html", F.lit(5)).alias("h")).orderBy("h").limit(sample).select("html")
-    got = rows.mapInArrow(K.tidy(_lessons), "x array<double>, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()
+    key = F.xxhash64("html", F.lit(5))
+    chosen = smallest(rows.select(key.alias("h")).distinct(), F.col("h"), sample)  # hashes only: pages can be long
+    once = rows.withColumn("h", key).join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("html").alias("html"))
+    got = once.select("html").mapInArrow(K.tidy(_lessons), "x array<double>, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()
     return fit_weights(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]), np.array([r["n"] for r in got], float))
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import kernels as K
+from barwright.llm.sampling import smallest
 from barwright.llm.store import Tables
 
 SAMPLE = 20_000  # labelled texts, at most, from which lexicon and curve are learnt
@@ -205,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).where(~held_out())
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
         rows = texts.select("doc_id", "h").join(marks, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-        rows = tables.saved(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample))
+        rows = tables.saved(smallest(tables.saved(rows), F.xxhash64("h", F.lit(2)), sample))
         labelled = tables.saved(texts.join(F.broadcast(rows), ["doc_id", "h"]).dropDuplicates(["h"]).select("text", "toxic"))
         totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_bad, n_good = totals.get(1, 0), totals.get(0, 0)
