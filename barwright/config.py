@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Settings:
+    # Window lengths, shares, the seed, and the search's names, ranges and their order, which the draws depend on.
     ma_windows: tuple[int, ...] = (5, 10, 20, 60)
     short_windows: tuple[int, ...] = (5, 10, 20)
     rsi_window: int = 14

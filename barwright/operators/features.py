@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,11 @@ def add_target(bars: DataFrame) -> DataFrame:
     return bars.withColumn(TARGET, log_ratio(F.lead("close").over(ordered()), F.col("close")))
 
 
+def prefix(bars: DataFrame, n: int) -> DataFrame:
+    """The first n bars of each series."""
+    return bars.withColumn("__at", F.row_number().over(ordered())).where(F.col("__at") <= n).drop("__at")
+
+
 def volume_gate(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Per series: share of bars with zero or missing volume, and whether the volume columns can be used."""
     if "volume" not in bars.columns:
@@ -95,6 +101,14 @@ def dataset(bars: DataFrame, volume: bool = True, s: Settings = DEFAULT) -> Data
     return full_table.na.drop("any")
 
 
+def dataset_counts(bars: DataFrame, volume: bool = True, s: Settings = DEFAULT) -> DataFrame:
+    """Per series: rows before and after those with a missing value are left out, and the rows left out."""
+    columns = [*feature_names(volume, s), TARGET]
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+    table = add_target(add_features(bars, volume, s)).groupBy("series").agg(F.count(F.lit(1)).alias("n_before"), F.count_if(whole).alias("n_after"))
+    return table.withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
+
+
 def keep_bars(bars: DataFrame, keys: DataFrame) -> DataFrame:
     """The bars whose keys are in `keys`."""
     return bars.join(keys.select(*KEYS).distinct(), list(KEYS), "left_semi")

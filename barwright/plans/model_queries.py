@@ -10,10 +10,11 @@ from barwright.operators import boosting, evaluation
 from barwright.plans import pipeline
 from barwright.plans.queries import ALL, clean, register
 from barwright.sources.bars import daily_order_bars
+from barwright.sources.shared import saved
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = clean(spark, sf_dir).cache()
+    table = saved(clean(spark, sf_dir))
     return evaluation.apply_scaler(table, evaluation.fit_scaler(table.where("split = 'train'"), ALL), ALL)
 
 
@@ -47,6 +48,11 @@ def shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.importance(boosting.attribution(*_predicted(spark, sf_dir)))
 
 
+@register("shap_importance_top")
+def shap_importance_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.top(shap_importance(spark, sf_dir), 15, F.desc("mean_abs"), F.col("feature"))
+
+
 @register("pipeline_report")
 def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.run(daily_order_bars(spark, sf_dir)).metrics

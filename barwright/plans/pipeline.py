@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barwright.config import DEFAULT, TARGET, Settings
 from barwright.operators import boosting, evaluation, features
+from barwright.sources.shared import saved
 
 
 @dataclass
@@ -37,7 +38,7 @@ def run(bars: DataFrame, trees: int | None = None, draws: int | None = None, tun
     trees, draws = s.trees if trees is None else trees, s.draws if draws is None else draws
     volume_ok = features.volume_usable(bars, s)
     columns = features.feature_names(volume_ok, s)
-    table = evaluation.assign_split(features.dataset(bars, volume_ok, s), s).cache()
+    table = saved(evaluation.assign_split(features.dataset(bars, volume_ok, s), s))
     train = table.where("split = 'train'")
     kept, stable = evaluation.temporal_consistency(train, columns, s=s) if select else (columns, None)
     kept = kept or columns

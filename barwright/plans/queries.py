@@ -34,16 +34,16 @@ def rounded(df: DataFrame, digits: int | None = 6) -> DataFrame:
     return df.select(*((F.round(c, digits or S.places(c)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
     """The modelling table of the daily bars with its split; values rounded so that ties are the same everywhere."""
-    return E.assign_split(rounded(X.dataset(B.daily_order_bars(spark, sf_dir)), None))
+    return E.assign_split(rounded(X.dataset(B.daily_order_bars(spark, sf_dir, panel=panel)), None))
 
 
-def stand_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(series, date, y, p) on test rows for a simple fixed predictor, and the training mean."""
-    table = clean(spark, sf_dir)
+def stand_in(spark: SparkSession, sf_dir: str, panel: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(series, date, y, p) on test rows for a simple fixed predictor, and the training mean (by series for a panel)."""
+    table = clean(spark, sf_dir, panel)
     p = F.round(0.1 * F.col("daily_return") - 0.02 * F.col("ret_lag_1"), 9) + F.lit(0.0)
-    return E.with_y_p(table.where("split = 'test'"), p), table.where("split = 'train'").agg(F.avg(TARGET).alias("mean"))
+    return E.with_y_p(table.where("split = 'test'"), p), table.where("split = 'train'").groupBy(*["series"] * panel).agg(F.avg(TARGET).alias("mean"))
 
 
 _BARS = "SELECT series, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars"
@@ -75,13 +75,19 @@ def _feature_query(names: list[str], source: Callable) -> Query:
 for _name, _columns in GROUPS.items():
     register(_name, S.features_sql(S.DAILY, _columns))(_feature_query(_columns, B.daily_order_bars))
 register("feat_panel", S.features_sql(S.PANEL, ALL))(_feature_query(ALL, lambda s, d: B.daily_order_bars(s, d, panel=True)))
-register("feat_hourly_panel", S.features_sql(S.HOURLY, [c for c in ALL if "ret" not in c]))(_feature_query([c for c in ALL if "ret" not in c], B.hourly_event_bars))
+register("feat_hourly_panel", S.features_sql(S.HOURLY, ALL))(_feature_query(ALL, B.hourly_event_bars))
+FIRST = 300
+register("feat_first_bars", S.features_sql(S.first_bars(S.DAILY, FIRST), ALL))(_feature_query(ALL, lambda s, d: X.prefix(B.daily_order_bars(s, d), FIRST)))
 
 register("target_next", f"WITH {S.DAILY}, {S.feature_steps()} SELECT series, date, {S.pick([TARGET])} FROM f")(lambda s, d: rounded(X.add_target(B.daily_order_bars(s, d)).select(*KEYS, TARGET), None))
 register("volume_gate", f"WITH {S.HOURLY} SELECT series, round(avg(CASE WHEN volume IS NULL OR volume = 0 THEN 1.0 ELSE 0.0 END), 6) AS degenerate, avg(CASE WHEN volume IS NULL OR volume = 0 THEN 1.0 ELSE 0.0 END) < 0.05 AS usable FROM bars GROUP BY series")(
     lambda s, d: rounded(X.volume_gate(B.hourly_event_bars(s, d)))
 )
 register("dataset_clean", f"WITH {S.dataset_steps(ALL)} SELECT series, date, {S.pick([*ALL, TARGET])} FROM d")(lambda s, d: rounded(clean(s, d).drop("split"), None))
+_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in [*ALL, TARGET])
+register("dataset_counts", f"WITH {S.PANEL}, {S.feature_steps()} SELECT series, count(*) AS n_before, count(*) FILTER (WHERE {_WHOLE}) AS n_after, count(*) - count(*) FILTER (WHERE {_WHOLE}) AS n_dropped FROM f GROUP BY series")(
+    lambda s, d: X.dataset_counts(B.daily_order_bars(s, d, panel=True))
+)
 register("split_assign", f"WITH {S.dataset_steps(ALL)} SELECT series, date, split FROM d")(lambda s, d: clean(s, d).select(*KEYS, "split"))
 register("split_describe", f"WITH {S.dataset_steps(ALL)} SELECT series, split, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM d GROUP BY series, split")(lambda s, d: E.describe_split(clean(s, d)))
 register("semi_join_test_bars", f"WITH {S.dataset_steps(ALL)} SELECT b.series, b.date, b.open, b.high, b.low, b.close, b.volume FROM bars b SEMI JOIN (SELECT * FROM d WHERE split = 'test') t ON b.series = t.series AND b.date = t.date")(
@@ -122,7 +128,7 @@ register("tca_bars", f"WITH {S.dataset_steps(ALL)}, {S.auc_steps(ALL)}, st AS (S
     lambda s, d: rounded(E.stability_bars(E.stability(E.pair_scores(_train(s, d), ALL))))
 )
 
-_SCALER = f"lg AS ({S.unpivot(ALL, 'd')}), q AS (SELECT feature, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS center, quantile_cont(value, 0.75) AS b FROM lg WHERE split = 'train' GROUP BY feature), sf AS (SELECT feature, center, CASE WHEN b - a = 0 THEN 1.0 ELSE b - a END AS scale FROM q)"
+_SCALER = S.scaler_steps(ALL)
 register("scaler_fit", f"WITH {S.dataset_steps(ALL)}, {_SCALER} SELECT feature, round(center, 6) + 0.0 AS center, round(scale, 6) + 0.0 AS scale FROM sf")(lambda s, d: rounded(E.fit_scaler(_train(s, d), ALL)))
 
 
@@ -170,3 +176,37 @@ register("drift_wasserstein", f"{_D} SELECT feature, round(wasserstein, 6) AS wa
 register("drift_share", f"{_D} SELECT count(*) AS n_features, count(*) FILTER (WHERE wasserstein >= 0.1) AS n_drifted, round(count(*) FILTER (WHERE wasserstein >= 0.1) / CAST(count(*) AS DOUBLE), 6) AS share, count(*) FILTER (WHERE wasserstein >= 0.1) / CAST(count(*) AS DOUBLE) >= 0.5 AS drifted FROM dr")(
     lambda s, d: rounded(E.drift_share(E.drift(clean(s, d), ALL)))
 )
+
+# -- reports of the first rows, and the same operators on a panel, series by series --------------------------------------
+
+TOP = 20
+register("tca_top", f"WITH {S.dataset_steps(ALL)}, {S.auc_steps(ALL)}, st AS (SELECT feature, round(avg(auc), 9) AS agg_auc FROM sc GROUP BY feature) SELECT feature, round(agg_auc, 6) AS agg_auc FROM st ORDER BY st.agg_auc, feature LIMIT {TOP}")(
+    lambda s, d: rounded(E.top(E.stability(E.pair_scores(_train(s, d), ALL)).select("feature", "agg_auc"), TOP, F.col("agg_auc"), F.col("feature")))
+)
+
+
+def _panel_train(s: SparkSession, d: str) -> DataFrame:
+    return clean(s, d, panel=True).where("split = 'train'")
+
+
+_P = S.dataset_steps(ALL, S.PANEL)
+register("tca_panel", f"WITH {_P}, {S.auc_steps(ALL)} SELECT series, feature, round(avg(auc), 6) AS agg_auc, round(avg(auc), 9) <= 0.7 AS keep FROM sc GROUP BY series, feature")(lambda s, d: rounded(E.stability(E.pair_scores(_panel_train(s, d), ALL))))
+register("scaler_panel", f"WITH {_P}, {S.scaler_steps(ALL, 'series, feature')} SELECT series, feature, round(center, 6) + 0.0 AS center, round(scale, 6) + 0.0 AS scale FROM sf")(lambda s, d: rounded(E.fit_scaler(_panel_train(s, d), ALL, ["series"])))
+
+
+@register("scaled_panel", f"WITH {_P}, {S.scaler_steps(ALL, 'series, feature')} SELECT series, date, feature, round((value - center) / scale, 6) + 0.0 AS value FROM lg JOIN sf USING (series, feature)")
+def scaled_panel(s: SparkSession, d: str) -> DataFrame:
+    table = clean(s, d, panel=True)
+    return rounded(E.long_form(E.apply_scaler(table, E.fit_scaler(table.where("split = 'train'"), ALL, ["series"]), ALL), ALL, KEYS))
+
+
+register("drift_panel", f"WITH {_P}, {S.drift_steps(ALL, 'series, feature')} SELECT series, feature, round(ks, 6) AS ks, round(wasserstein, 6) AS wasserstein FROM dr")(lambda s, d: rounded(E.drift(clean(s, d, panel=True), ALL, ["series"])))
+register("metrics_panel", f"WITH {_P}, {S.YP_BY_SERIES}, {S.LONG_BY_SERIES}, {S.METRICS_BY_SERIES} SELECT series, predictor, {S.pick(['mae', 'rmse', 'dir_acc', 'ic', 'r2'], 6)} FROM m")(
+    lambda s, d: rounded(E.metrics(E.predictors(*stand_in(s, d, panel=True)), ["series"]))
+)
+register("confusion_panel", f"WITH {_P}, {S.YP}, c AS (SELECT series, y > 0 AS up, count(*) FILTER (WHERE p > 0) AS pred_up, count(*) FILTER (WHERE NOT p > 0) AS pred_down FROM yp WHERE y <> 0 GROUP BY ALL) SELECT series, CASE WHEN up THEN 'up' ELSE 'down' END AS actual, pred_up, pred_down, round(pred_up / CAST(sum(pred_up + pred_down) OVER (PARTITION BY series) AS DOUBLE), 6) AS share_up, round(pred_down / CAST(sum(pred_up + pred_down) OVER (PARTITION BY series) AS DOUBLE), 6) AS share_down FROM c")(
+    lambda s, d: rounded(E.confusion(stand_in(s, d, panel=True)[0], by=["series"]))
+)
+register("residual_hist_panel", f"WITH {_P}, {S.YP}, r AS (SELECT series, round(y - p, 9) AS r FROM yp), l AS (SELECT series, min(r) AS lo, max(r) AS hi FROM r GROUP BY series), b AS (SELECT series, CAST(least(floor((r - lo) / ((hi - lo) / 60)), 59) AS BIGINT) AS bin, lo, hi FROM r JOIN l USING (series)) SELECT series, bin, round(any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 60, 6) + 0.0 AS lower, count(*) AS n FROM b GROUP BY series, bin")(
+    lambda s, d: rounded(E.histogram(stand_in(s, d, panel=True)[0], F.round(F.col("y") - F.col("p"), 9), by=["series"]))
+)

@@ -84,12 +84,18 @@ YP = "yp AS (SELECT series, date, target_next_log_return AS y, round(0.1 * daily
 LONG = """lp AS (SELECT series, date, 'model' AS predictor, y, p FROM yp UNION ALL SELECT series, date, 'persistence', y, 0.0 FROM yp
   UNION ALL SELECT series, date, 'historical_mean', y, mean FROM yp, tm)"""
 
+LONG_BY_SERIES = LONG.replace("mean FROM yp, tm)", "mean FROM yp JOIN tm USING (series))")
+YP_BY_SERIES = YP.replace("(SELECT avg(target_next_log_return) AS mean FROM d WHERE split = 'train')", "(SELECT series, avg(target_next_log_return) AS mean FROM d WHERE split = 'train' GROUP BY series)")
+
 METRICS = """m AS (SELECT predictor, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse,
   avg(CASE WHEN y <> 0 THEN CASE WHEN sign(p) = sign(y) THEN 1.0 ELSE 0.0 END END) AS dir_acc,
   CASE WHEN min(p) < max(p) THEN covar_pop(p, y) / nullif(stddev_pop(p) * stddev_pop(y), 0) END AS ic,
   1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(y), 0) AS r2 FROM lp GROUP BY predictor)"""
 
 
+METRICS_BY_SERIES = METRICS.replace("SELECT predictor", "SELECT series, predictor").replace("GROUP BY predictor", "GROUP BY series, predictor")
+
+
 def unpivot(names: list[str], source: str) -> str:
     return " UNION ALL ".join(f"SELECT series, split, date, '{c}' AS feature, {c} AS value FROM {source}" for c in names)
 
@@ -110,10 +116,20 @@ au AS (SELECT series, feature, ba, bb, CAST((sum(n1 * rank) - sum(n1) * (sum(n1)
 sc AS (SELECT series, feature, ba, bb, greatest(a, 1 - a) AS auc FROM au)"""
 
 
-def drift_steps(names: list[str]) -> str:
+def drift_steps(names: list[str], keys: str = "feature") -> str:
     return f"""lg AS ({unpivot(names, "d WHERE split IN ('train', 'test')")}),
-cn AS (SELECT feature, value, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'test') AS b FROM lg GROUP BY ALL),
-g AS (SELECT feature, abs(sum(a) OVER w / CAST(sum(a) OVER (PARTITION BY feature) AS DOUBLE) - sum(b) OVER w / CAST(sum(b) OVER (PARTITION BY feature) AS DOUBLE)) AS gap,
-  lead(value) OVER (PARTITION BY feature ORDER BY value) - value AS step FROM cn WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-sd AS (SELECT feature, stddev_samp(value) AS sd FROM lg WHERE split = 'train' GROUP BY feature),
-dr AS (SELECT feature, max(gap) AS ks, sum(gap * step) / nullif(any_value(sd), 0) AS wasserstein FROM g JOIN sd USING (feature) GROUP BY feature)"""
+cn AS (SELECT {keys}, value, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'test') AS b FROM lg GROUP BY ALL),
+g AS (SELECT {keys}, abs(sum(a) OVER w / CAST(sum(a) OVER (PARTITION BY {keys}) AS DOUBLE) - sum(b) OVER w / CAST(sum(b) OVER (PARTITION BY {keys}) AS DOUBLE)) AS gap,
+  lead(value) OVER (PARTITION BY {keys} ORDER BY value) - value AS step FROM cn WINDOW w AS (PARTITION BY {keys} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sd AS (SELECT {keys}, stddev_samp(value) AS sd FROM lg WHERE split = 'train' GROUP BY {keys}),
+dr AS (SELECT {keys}, max(gap) AS ks, sum(gap * step) / nullif(any_value(sd), 0) AS wasserstein FROM g JOIN sd USING ({keys}) GROUP BY {keys})"""
+
+
+def scaler_steps(names: list[str], keys: str = "feature") -> str:
+    return f"""lg AS ({unpivot(names, 'd')}), q AS (SELECT {keys}, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS center, quantile_cont(value, 0.75) AS b FROM lg WHERE split = 'train' GROUP BY {keys}),
+sf AS (SELECT {keys}, center, CASE WHEN b - a = 0 THEN 1.0 ELSE b - a END AS scale FROM q)"""
+
+
+def first_bars(bars: str, n: int) -> str:
+    """The CTE `bars` with the first n of each series."""
+    return bars.replace("bars AS (", "every_bar AS (", 1) + f", bars AS (SELECT * FROM every_bar QUALIFY row_number() OVER ({W}) <= {n})"
