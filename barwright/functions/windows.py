@@ -17,7 +17,7 @@ def ordered():
     return Window.partitionBy("series").orderBy("date")
 
 
-LOSS = 250.0  # logarithm of what the fastest recursive average loses over a piece: weights inside stay in range
+LOSS = 20.0  # logarithm of what the fastest recursive average loses over a piece: weights inside stay small, and so does their rounding
 WEIGHTLESS = 42.0  # logarithm of a weight beyond a double's rounding
 
 
