@@ -6,39 +6,12 @@ Operators delete earlier what no later step reads: see Tables.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir. Where that is unset, as in tests on one machine, under a new
-    temporary folder; on a cluster, where executors could not see that one, it is an error."""
-    context = spark.sparkContext
-    known = _FOLDERS.get(context.applicationId)
-    if known:
-        return known
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="barwright-"))
-        base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/barwright/{context.applicationId}"
-    target, system = _place(spark, path)
-    system.mkdirs(target)
-    system.deleteOnExit(target)
-    _FOLDERS[context.applicationId] = path
-    return path
-
-
-def _place(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+from barwright.sources.shared import place, shared_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -86,5 +59,5 @@ class Tables:
 
 def drop(df: DataFrame) -> None:
     """Deletes a table that saved() wrote and that no later result reads."""
-    target, system = _place(df.sparkSession, df._saved_at)
+    target, system = place(df.sparkSession, df._saved_at)
     system.delete(target, True)
