@@ -72,7 +72,7 @@ def _fold_char(c: str) -> str:
 def _fold_table() -> tuple[np.ndarray, dict[int, str]]:
     """The folded code point of each (0: dropped), and the strings of those that fold to more than one."""
     table, many = np.full(0x110000, 32, np.uint32), {}
-    for i in range(0x110000):
+    for i in (*range(0x32400), *range(0xE0000, 0xE0200)):  # the rest is unassigned or private: no letters
         folded = " " if 0xD800 <= i < 0xE000 else _fold_char(chr(i))
         if len(folded) > 1:
             many[i] = folded
