@@ -14,7 +14,8 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-CACHE_BYTES = 24 << 20  # of spans known to a worker
+CACHE_BYTES = 40 << 20  # of spans known to a worker
+TRIM_BYTES = 8 << 20  # texts after which a worker gives freed memory back
 SLICE_BYTES = 1 << 21  # texts are worked on in slices of about this many bytes, so temporaries stay bounded
 
 
@@ -136,7 +137,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches into runs of rows of about `most` text bytes (a longer text is a run of its own)."""
+    """Cuts record batches into runs of rows of about `most` text bytes (a longer text is a run of its own). Memory that the work
+    on them has freed goes back to the system again and again, as the allocator would keep all of it."""
+    since = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -148,6 +151,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
+            since += int(ends[to - 1] - base)
+            if since >= TRIM_BYTES:
+                trim()
+                since = 0
             at = to
 
 

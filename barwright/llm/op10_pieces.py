@@ -25,6 +25,7 @@ from barwright.llm import kernels as K
 
 MARK = "▁"  # fixed value: the sign that stands for a space in pieces
 PAIRS = 500_000  # compatibility results kept at most
+UNIT_BYTES = 160 << 20  # of units known to a worker, with their ids and texts
 
 
 @lru_cache(2)
@@ -68,7 +69,7 @@ class PieceModel:
             self.automaton.add_word(p, p)
             self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in good), None)
         self.automaton.make_automaton()
-        self.cache = K.SpanCache(self._units, self._forget)
+        self.cache = K.SpanCache(self._units, self._forget, UNIT_BYTES)
 
     def _forget(self) -> None:
         self.said: list[bytes] = []
